@@ -1 +1,10 @@
-"""Operators for building training corpora. Nothing outside this subpackage imports it."""
+"""Operators for building training corpora. Nothing outside this subpackage imports it.
+
+Functions that run on executors are sent by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
