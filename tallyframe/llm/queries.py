@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import line_dedup, mixing
+from tallyframe.llm import bpe, line_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_line_dedup": line_dedup.op2,
+    "op3_simhash": simhash.op3,
+    "op5_quality_rules": quality_rules.op5,
+    "op6_byte_bpe": bpe.op6,
 }
 
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op5_quality_rules": quality_rules.OP5_SQL,
 }
