@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, line_dedup, mixing, quality_rules, simhash
+from tallyframe.llm import bpe, langid_ppm, line_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3,
     "op5_quality_rules": quality_rules.op5,
     "op6_byte_bpe": bpe.op6,
+    "op10_language_id": langid_ppm.op10,
 }
 
 ORACLES = {
