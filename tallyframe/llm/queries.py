@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, langid_ppm, line_dedup, mixing, quality_rules, simhash
+from tallyframe.llm import bpe, langid_ppm, line_dedup, media_matroska, mixing, quality_qda, quality_rules, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_line_dedup": line_dedup.op2,
     "op3_simhash": simhash.op3,
+    "op4_quality_qda": quality_qda.op4,
     "op5_quality_rules": quality_rules.op5,
     "op6_byte_bpe": bpe.op6,
+    "op7_matroska": media_matroska.op7,
     "op10_language_id": langid_ppm.op10,
 }
 
