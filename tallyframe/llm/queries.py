@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, langid_ppm, line_dedup, lm_interp, media_matroska, mixing, quality_qda, quality_rules, simhash
+from tallyframe.llm import bpe, html_wrapper, langid_ppm, line_dedup, lm_interp, media_matroska, mixing, quality_qda, quality_rules, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_matroska": media_matroska.op7,
+    "op8_html_wrapper": html_wrapper.op8,
     "op9_interpolated_lm": lm_interp.op9,
     "op10_language_id": langid_ppm.op10,
 }
