@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
+import types
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -173,9 +175,15 @@ class ByteBPE:
         return found
 
 
-@lru_cache(maxsize=2)
-def _loaded(path: str, pattern: str, newer: str) -> ByteBPE:
-    return ByteBPE.from_file(path, pattern, newer)
+def _loaded(*key: str) -> ByteBPE:
+    """The vocabulary of a path, pattern and newer characters, read once in a worker process.
+
+    Functions come to workers by value, with each task anew, so what outlives a task is kept in a module of its own.
+    """
+    kept = sys.modules.setdefault("_tallyframe_vocabularies", types.ModuleType("_tallyframe_vocabularies"))
+    if getattr(kept, "key", None) != key:
+        kept.key, kept.bpe = key, ByteBPE.from_file(*key)
+    return kept.bpe
 
 
 def default_vocabulary() -> tuple[str, str]:
