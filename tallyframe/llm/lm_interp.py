@@ -24,12 +24,12 @@ task holds a block, or its longest document, in memory.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ from tallyframe.llm.common import held_out, saved, table
 #: Training documents whose tokens the weights are learned on: one in so many, by remainder.
 FOLDS = 11
 
-#: Part of a document: counted, counted and used to learn the weights, or only scored.
+#: Part of a document: counted, counted and used to learn the weights, or only scored. A block is COUNTED or FOLD.
 COUNTED, FOLD, SCORED = 0, 1, 2
 
 #: The end of a text, as the word of no bytes.
@@ -54,12 +54,12 @@ SLICE_BYTES, MOST_SLICES = 8 << 20, 1 << 16
 
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers as byte planes, compressed."""
-    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 3)
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zlib.decompress(data), np.uint8)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
@@ -95,30 +95,47 @@ class _Block:
         self.words: dict[bytes, int] = {END: 0}
         self.tokens: list[np.ndarray] = []
         self.ids: list = []
+        self.counted: list[bool] = []
         self.size = 0
 
-    def add(self, ident, text: str | None) -> None:
+    def add(self, ident, text: str | None, counted: bool) -> None:
         known = self.words
         words = (text or "").encode("utf-8", "replace").lower().split()
         words.append(END)
         self.tokens.append(np.fromiter([known.setdefault(w, len(known)) for w in words], np.uint32, len(words)))
         self.ids.append(ident)
+        self.counted.append(counted)
         self.size += len(words)
 
     def rows(self, block: int, part: int, slices: int) -> Iterator[tuple]:
         """(block, part, kind, slice, ids, payload, rest) of the block and of what it asks."""
         sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
-        tokens = np.concatenate(self.tokens)
+        tokens, self.tokens = np.concatenate(self.tokens), []
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        self.words = {}
         yield block, part, "block", 0, self.ids, pack(tokens.astype("<u4")), words.astype("<u8").tobytes() + sizes.astype("<i8").tobytes()
-        pairs = pair_hash(words[_pairs(tokens, sizes, 0)], words[tokens])
-        for kind, hashes in (("word", words[tokens]), ("pair", pairs)):
+        counted = np.repeat(np.array(self.counted, bool), sizes)
+        order = np.argsort(words)
+        yield from _asked(block, part, "word", slices, words[order], np.bincount(tokens[counted], minlength=len(words))[order])
+        hashes = pair_hash(words[_pairs(tokens, sizes, 0)], words[tokens])
+        del tokens
+        if counted.all():
             asked, counts = np.unique(hashes, return_counts=True)
-            edges = np.searchsorted(slice_of(asked, slices), np.arange(slices + 1))
-            for k in range(slices):
-                a, b = edges[k], edges[k + 1]
-                if a < b:
-                    yield block, part, kind, k, None, pack_sorted(asked[a:b]), pack(counts[a:b].astype("<u4")) if part != SCORED else None
+        else:
+            order = np.argsort(hashes)
+            hashes, counted = hashes[order], counted[order]
+            starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            asked, counts = hashes[starts], np.add.reduceat(counted.astype(np.int64), starts)
+        yield from _asked(block, part, "pair", slices, asked, counts)
+
+
+def _asked(block: int, part: int, kind: str, slices: int, asked: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    """The rows that ask for distinct hashes, sorted, of which the block has so many itself."""
+    edges = np.searchsorted(slice_of(asked, slices), np.arange(slices + 1))
+    for k in range(slices):
+        a, b = edges[k], edges[k + 1]
+        if a < b:
+            yield block, part, kind, k, None, pack_sorted(asked[a:b]), pack(counts[a:b].astype("<u4"))
 
 
 def part_of(doc_id: Column) -> Column:
@@ -128,7 +145,7 @@ def part_of(doc_id: Column) -> Column:
 
 
 def blocks(docs: DataFrame, slices: int, block_tokens: int) -> DataFrame:
-    """Rows (block, part, kind, slice, ids, payload, rest) of docs (doc_id, part, text)."""
+    """Rows (block, part, kind, slice, ids, payload, rest) of docs (doc_id, part, text); a block is of the fold or has none of it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +159,15 @@ def blocks(docs: DataFrame, slices: int, block_tokens: int) -> DataFrame:
         for batch in batches:
             schema = schema or pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.string()), ("slice", pa.int32()), ("ids", pa.list_(batch.schema.field(0).type)), ("payload", pa.binary()), ("rest", pa.binary())])
             for ident, part, text in zip(*batch.columns):
-                part = part.as_py()
+                counted = part.as_py() != SCORED
+                part = FOLD if part.as_py() == FOLD else COUNTED
                 block = open_blocks.setdefault(part, _Block())
-                block.add(ident.as_py(), text.as_py())
+                block.add(ident.as_py(), text.as_py(), counted)
                 if block.size >= block_tokens:
                     yield from packed(open_blocks.pop(part).rows(task << 24 | n, part, slices))
                     n += 1
-        for part, block in open_blocks.items():
-            yield from packed(block.rows(task << 24 | n, part, slices))
+        for part in list(open_blocks):
+            yield from packed(open_blocks.pop(part).rows(task << 24 | n, part, slices))
             n += 1
 
     return docs.mapInArrow(run, f"block long, part int, kind string, slice int, ids array<{kind}>, payload binary, rest binary")
@@ -168,8 +186,7 @@ def answers(asked: DataFrame) -> DataFrame:
         sums, start = np.zeros((2, len(known)), np.int64), 0
         starts = np.cumsum([0] + [len(h) for h in hashes])
         for start, end, part, own in zip(starts, starts[1:], group["part"].to_pylist(), group["rest"]):
-            if part != SCORED:
-                sums[part][at[start:end]] += unpack(own.as_py(), "<u4")  # a block's hashes are distinct
+            sums[part][at[start:end]] += unpack(own.as_py(), "<u4")  # a block's hashes are distinct
         whole = sums.sum(0)
         stat = np.array([np.count_nonzero(sums[0]), sums[0].sum(), np.count_nonzero(whole), whole.sum()], "<i8").tobytes()
         rows = [(-1, kind, k, stat, None)]
@@ -197,14 +214,23 @@ class _Counts:
         self.tokens = unpack(payload, "<u4")
         n = len(self.ids)
         words, self.sizes = np.frombuffer(rest[: len(rest) - 8 * n], "<u8"), np.frombuffer(rest[len(rest) - 8 * n :], "<i8")
-        self.before = _pairs(self.tokens, self.sizes, 0)
-        put = lambda kind, j: np.concatenate([parts[kind][k][j] for k in sorted(parts[kind])]).astype(np.float64)
+        put = lambda kind, j: np.concatenate([parts[kind][k][j] for k in sorted(parts[kind])])
         order = np.argsort(words)
-        self.word = np.empty((2, len(words)))
+        self.word = np.empty((2, len(words)), np.uint32)
         for j in (0, 1):
             self.word[j, order] = put("word", j)
-        at = np.unique(pair_hash(words[self.before], words[self.tokens]), return_inverse=True)[1]
-        self.pair = [put("pair", j)[at] for j in (0, 1)]
+        self.before = _pairs(self.tokens, self.sizes, 0)
+        at = np.unique(pair_hash(words[self.before], words[self.tokens]), return_inverse=True)[1].astype(np.uint32)
+        self.at, self.pair = at, [put("pair", j) for j in (0, 1)]
+
+    def parts(self, most: int = 1 << 18) -> Iterator[tuple[slice, slice]]:
+        """Documents and their tokens, about `most` tokens at a time."""
+        ends, first = np.cumsum(self.sizes), 0
+        while first < len(ends):
+            start = ends[first] - self.sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, start + most, "right")))
+            yield slice(first, last), slice(start, ends[last - 1])
+            first = last
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -216,13 +242,13 @@ def weights(met: DataFrame, distinct: int, total: int, rounds: int = 100) -> np.
     """The weights of bigram, unigram and equal shares for each bucket, from the blocks of the fold and their answers."""
 
     def run(group: pa.Table) -> pa.Table:
-        c = _Counts(group)
-        first, second = c.word[0][c.before], c.word[0][c.tokens]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            fine = lambda p: np.where(p > 0, np.rint(np.log2(p) * FINE), 1).astype(np.int64)
-            cells = np.stack([bucket(first), fine(np.where(first > 0, c.pair[0] / first, 0.0)), fine(second / max(total, 1))])
-        found, n = np.unique(cells, axis=1, return_counts=True)
-        return pa.table([*found, n], names=["bucket", "pair", "word", "n"])
+        c, found = _Counts(group), []
+        fine = lambda p: np.where(p > 0, np.rint(np.log2(np.where(p > 0, p, 1)) * FINE), 1).astype(np.int64)
+        for _, tokens in c.parts():
+            first, second, pair = (x.astype(np.float64) for x in (c.word[0][c.before[tokens]], c.word[0][c.tokens[tokens]], c.pair[0][c.at[tokens]]))
+            cells = np.stack([bucket(first), fine(pair / np.maximum(first, 1)), fine(second / max(total, 1))])
+            found.append([*(cells := np.unique(cells, axis=1, return_counts=True))[0], cells[1]])
+        return pa.table([np.concatenate(x).astype(np.int64) for x in zip(*found)], names=["bucket", "pair", "word", "n"])
 
     rows = met.groupBy("block").applyInArrow(run, "bucket long, pair long, word long, n long").groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()
     out = np.tile(np.array([0.5, 0.4, 0.1]), (65, 1))
@@ -248,20 +274,21 @@ def scores(met: DataFrame, kind: str, mix: np.ndarray, distinct: int, total: int
     """(doc_id, n_tokens, n_known, base_score, score) from all blocks and their answers."""
 
     def run(group: pa.Table) -> pa.Table:
-        c = _Counts(group)
-        word = c.word.sum(0)
-        first, second, pair = word[c.before], word[c.tokens], c.pair[0] + c.pair[1]
-        base = np.log10((second + 1) / (total + distinct + 1))
-        w = mix[bucket(first)]
-        p = w[:, 0] * pair / np.maximum(first, 1) + w[:, 1] * second / max(total, 1) + w[:, 2] / (distinct + 1)
-        starts = np.cumsum(c.sizes) - c.sizes
-        add = lambda x: np.add.reduceat(x, starts)
-        return pa.table([c.ids.values, c.sizes, add((second > 0).astype(np.int64)), add(base), add(np.log10(p))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        c, found = _Counts(group), []
+        word, pairs = c.word.sum(0, dtype=np.float64), c.pair[0].astype(np.float64) + c.pair[1]
+        for docs, tokens in c.parts():
+            first, second, pair = word[c.before[tokens]], word[c.tokens[tokens]], pairs[c.at[tokens]]
+            base = np.log10((second + 1) / (total + distinct + 1))
+            w = mix[bucket(first)]
+            p = w[:, 0] * pair / np.maximum(first, 1) + w[:, 1] * second / max(total, 1) + w[:, 2] / (distinct + 1)
+            starts = np.cumsum(c.sizes[docs]) - c.sizes[docs]
+            found.append([np.add.reduceat(x, starts) for x in ((second > 0).astype(np.int64), base, np.log10(p))])
+        return pa.table([c.ids.values, c.sizes, *[np.concatenate(x) for x in zip(*found)]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return met.groupBy("block").applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: Column | None = None, block_tokens: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: Column | None = None, block_tokens: int = 4_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row for each of docs.
 
     part: the part of each document, by default part_of() its id.
