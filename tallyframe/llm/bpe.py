@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import table
+from tallyframe.llm.common import map_arrow, table
 
 #: Matches of the pattern whose ids a worker remembers; beyond that it starts afresh.
 REMEMBERED = 400_000
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", "offsets"][: len(columns)])
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary"
-    return rows.mapInArrow(run, schema + (", offsets array<struct<byte_start:int,byte_end:int,char_start:int,char_end:int>>" if offsets else ""))
+    return map_arrow(rows, run, schema + (", offsets array<struct<byte_start:int,byte_end:int,char_start:int,char_end:int>>" if offsets else ""))
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                     sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import lookup, saved, table
+from tallyframe.llm.common import lookup, map_arrow, saved, table
 
 DEPTH = 150
 
@@ -348,7 +348,7 @@ def evidence(pages: DataFrame) -> DataFrame:
                 nodes += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(nodes, pa.int64())], ["host", "page", "node"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, page long, node long")
+    return map_arrow(pages.select("url", "html"), run, "host string, page long, node long")
 
 
 def templates(pages: DataFrame, share: float, least: int) -> DataFrame:
@@ -371,7 +371,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = ["\n\n".join(blocks(parse(page.as_py()), frozenset(marks.as_py() or ()))) for page, marks in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return map_arrow(joined, run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

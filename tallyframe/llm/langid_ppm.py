@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import held_out, table
+from tallyframe.llm.common import held_out, map_arrow, table
 
 ORDER = 3
 
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             n, s = model.predict(part)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names + n, pa.string()), pa.array(np.concatenate([*scores, s]))], [*kept, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in kept]), run, schema)
 
 
 def trained(docs: DataFrame, id_col: str = "doc_id") -> LanguageModel:

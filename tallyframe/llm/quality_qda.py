@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import held_out, saved, table
+from tallyframe.llm.common import held_out, map_arrow, saved, table
 
 FEATURES = [
     "log_words", "log_lines", "mean_word", "deviation_word", "longest_word", "symbols", "capitals", "digits", "marks", "stops",
@@ -67,7 +67,7 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -88,7 +88,7 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
         for k, sums in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(sums.size, k), pa.int32()), pa.array(np.arange(sums.size), pa.int32()), pa.array(sums.ravel())], ["label", "at", "value"])
 
-    found = rows.select("x", "label").mapInArrow(run, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
+    found = map_arrow(rows.select("x", "label"), run, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
     sums = {k: np.zeros((size + 1) ** 2) for k in (0, 1)}
     for r in found:
         sums[r["label"]][r["at"]] = r["value"]
@@ -139,7 +139,7 @@ def classify(rows: DataFrame, model: Discriminant) -> DataFrame:
             score = model.score(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return rows.select("doc_id", "x").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return map_arrow(rows.select("doc_id", "x"), run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import lookup, saved, table
+from tallyframe.llm.common import lookup, map_arrow, saved, table
 
 #: Metric: (numerator, denominator, scale, least distance of a fence from the median, sides). Values are
 #: scale * numerator / denominator, rounded down.
@@ -84,7 +84,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c) for c in found.T]], ["doc_id", "lang", "source", *COUNTS])
 
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang", "source")]
-    return rows.mapInArrow(run, ", ".join([*kinds, *[f"{c} long" for c in COUNTS]]))
+    return map_arrow(rows, run, ", ".join([*kinds, *[f"{c} long" for c in COUNTS]]))
 
 
 def base_failed() -> Column:
