@@ -37,15 +37,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared scratch folder."""
+    return f"{scratch_dir(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared scratch folder and reads it back, which cuts the lineage.
 
     Lost executors cost nothing that has been saved, and each reader sees the same rows.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a place in the scratch folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker: rows hold whole texts, and a task holds a few batches.
@@ -66,6 +76,21 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def nested(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no name in them can clash with a work column's."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def of_row(name: str) -> Column:
+    """A column of the struct column `row`."""
+    return F.col("row").getField(name)
+
+
+def unnested(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the struct column `row`, some of them changed."""
+    return df.select(*[changed.get(c, of_row(c)).alias(c) for c in columns])
+
+
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 64) -> DataFrame:
     """Joins big to small, which has one row a key, nulls matching nulls.
 
@@ -80,7 +105,7 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     if fits(small):
         return big.join(F.broadcast(right), on, how).drop(*gone)
     right = right.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = big.withColumn("__salt_l", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int"))
+    left = big.withColumn("__salt_l", F.pmod(F.xxhash64(*[F.col(f.name) for f in big.schema.fields if f.dataType.typeName() not in ("map", "struct", "array", "variant")]), F.lit(salts)).cast("int"))
     return left.join(right, [*on, F.col("__salt_l") == F.col("__salt_r")], how).drop(*gone, "__salt_l", "__salt_r")
 
 

@@ -10,8 +10,8 @@ Only DataFrame functions are used. A line's key is a 64-bit and a 32-bit hash of
 
 Defined cases: a null text stays null and has 0 lines; an empty text has one empty line. A text whose lines all go
 becomes the empty string and its row stays. A null source is a site of its own. A null id sorts first. Rows that
-repeat an id and text keep and lose the same lines. An empty table gives an empty result. Columns that clash with
-names used here are left alone: work columns start with two underscores.
+repeat an id and text keep and lose the same lines. An empty table gives an empty result. Other columns of the
+documents are kept as they are, whatever their names, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import hot_split_join, saved, table
+from tallyframe.llm.common import hot_split_join, nested, of_row, saved, table, unnested
 
 #: log2 of the registers of a sketch: a relative standard error of 1.04 / sqrt(1024), 3.3 %.
 LG_K = 10
@@ -60,14 +60,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = lines.count()
     drops = hot_split_join(lines.drop("site"), boilerplate(lines, total, min_sites, band), KEYS, "n", total)
     drops = drops.filter(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
-    drops = drops.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__drop"))
-    text, kept = F.col(text_col), lambda x, i: ~F.array_contains(F.col("__drop"), i)
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__th")), "left")
-    less = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), kept), "\n"))
+    drops = drops.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
+    text = of_row(text_col)
+    joined = docs.select(nested(docs).alias("row")).join(drops, of_row(id_col).eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("th")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    n_removed = F.coalesce(F.size("__drop"), F.lit(0)).cast("long")
-    own = [less.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    changed = {text_col: F.when(F.col("gone").isNull(), text).otherwise(kept), "n_lines": n_lines, "n_removed": n_removed}
+    return unnested(joined, [*own, "n_lines", "n_removed"], **changed)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import WORD, lookup, saved, table
+from tallyframe.llm.common import WORD, lookup, nested, saved, table, unnested
 
 #: Hash bits, and the bits by which each level refines.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -123,11 +123,11 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     may be broadcast.
     """
     meta = saved(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    rule = rules(meta, **options).select(F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies"), F.col("threshold").alias("__mix_below"))
-    marked = docs.withColumn("__mix_source", F.col(source_col)).withColumn("__mix_h", hash_of(F.col(id_col)))
-    marked = lookup(marked, rule, ["__mix_source"])
-    times = F.col("__mix_copies") + F.coalesce(F.col("__mix_h") < F.col("__mix_below"), F.lit(False)).cast("long")
-    return marked.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    rule = rules(meta, **options).select("source", "copies", "threshold")
+    marked = docs.select(nested(docs).alias("row"), F.col(source_col).alias("source"), hash_of(F.col(id_col)).alias("h"))
+    marked = lookup(marked, rule, ["source"])
+    times = F.col("copies") + F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)).cast("long")
+    return unnested(marked.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))), docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ can meet at one value, so the work grows with the fingerprints and not with thei
 Components come from alternating large-star and small-star rounds over tables in the shared scratch folder.
 
 Defined cases: a null or empty text, or one without words, has fingerprint 0, which links like any other. Rows that
-repeat an id are each returned. A null id is never a component's id unless the component has no other. An empty table
-gives an empty result. Columns beyond id and text are not read.
+repeat an id are each returned. A null id is never a component's id unless the component has no other. Where one row of
+a component stays, rows of the same id and text count as one. An empty table gives an empty result. Columns beyond id
+and text are not read, and kept whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import hot_split_join, lookup, map_arrow, saved, table
+from tallyframe.llm.common import hot_split_join, lookup, map_arrow, nested, saved, table, unnested
 
 BITS, SEGMENTS, SEED = 64, 16, 42
 
@@ -58,15 +59,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit number."""
+    """(doc_id, th, fp): th is a hash of the text as it is, fp the fingerprint, as signed 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py(), width) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(x.as_py(), width) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 def _ring(fp: Column, start: int) -> Column:
@@ -144,26 +145,35 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id), one row for each of docs."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> DataFrame:
+    """(doc_id, th, fp, least): least is the struct (null, doc_id, th) of the first document of the component."""
     marked = saved(fingerprints(docs, id_col, text_col, width), "simhash")
-    classes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")
+    classes = saved(marked.groupBy("fp").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     reach = components(links(classes.select("fp"), max_bits))
-    named = classes.join(reach, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    named = saved(named, "simhash-named")
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
-    alone = named.select("fp", "n", "least").join(first.filter("classes = 1").select(F.col("root").alias("fp")), "fp", "left_semi").withColumnRenamed("least", "component_id")
-    wide = lookup(named.join(first.filter("classes > 1").select(F.col("root").alias("r")), F.col("root") == F.col("r"), "left_semi").select("fp", "n", "root"), first.filter("classes > 1").select("root", "component_id"), ["root"], "inner").drop("root")
+    named = saved(classes.join(reach, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", "root"), "simhash-named")
+    # a root has no row in reach for itself; a class that is nobody's node or root is a component of its own
+    wide = named.withColumn("root", F.coalesce("root", "fp")).join(reach.select("root").distinct(), "root", "left_semi")
+    first = wide.groupBy("root").agg(F.min("least").alias("least"))
+    wide = lookup(wide.drop("least"), first, ["root"], "inner").select("fp", "n", "least")
+    alone = named.join(wide.select("fp"), "fp", "left_anti").select("fp", "n", "least")
     whole = saved(alone.unionByName(wide), "simhash-components")
-    return hot_split_join(marked, whole, ["fp"], "n", marked.count()).select("doc_id", "fp", "component_id")
+    return hot_split_join(marked, whole, ["fp"], "n", marked.count())
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id), one row for each of docs."""
+    return _grouped(docs, id_col, text_col, width, max_bits).select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stand for their component: of each, the smallest id stays, once."""
-    marked = near_duplicates(docs, id_col, text_col, **options)
-    gone = marked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    return kept.dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of docs that stand for their component: of each, one row of the smallest id stays."""
+    marked = _grouped(docs, id_col, text_col, width, max_bits)
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
+    gone = marked.filter(~stays).select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct()
+    rows = docs.select(nested(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    kept = rows.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("th") == F.col("gone_th")), "left_anti").dropDuplicates(["id", "th"])
+    return unnested(kept, docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
