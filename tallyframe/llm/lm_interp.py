@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import held_out, saved, table
+from tallyframe.llm.common import discard, held_out, map_arrow, saved, scratch_path, table
 
 #: Training documents whose tokens the weights are learned on: one in so many, by remainder.
 FOLDS = 11
@@ -71,15 +71,21 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
 
 
+#: Bits of the hashes of words and of pairs. Sorted and packed, a hash takes these bits less the logarithm of how many there are.
+WORD_BITS, PAIR_BITS = 64, 56
+
+
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of two 64-bit hashes, by multiplications and shifts."""
+    """A hash of PAIR_BITS of two 64-bit hashes, by multiplications and shifts."""
     x = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(0xD1B54A32D192ED03) + (first >> np.uint64(7)))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) ^ (x >> np.uint64(32))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - PAIR_BITS)
 
 
-def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+def slice_of(hashes: np.ndarray, slices: int, bits: int) -> np.ndarray:
+    """The slice of each hash, of slices of equal size in order."""
+    return ((hashes >> np.uint64(bits - 32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
 def _pairs(tokens: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
@@ -131,7 +137,7 @@ class _Block:
 
 def _asked(block: int, part: int, kind: str, slices: int, asked: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
     """The rows that ask for distinct hashes, sorted, of which the block has so many itself."""
-    edges = np.searchsorted(slice_of(asked, slices), np.arange(slices + 1))
+    edges = np.searchsorted(slice_of(asked, slices, WORD_BITS if kind == "word" else PAIR_BITS), np.arange(slices + 1))
     for k in range(slices):
         a, b = edges[k], edges[k + 1]
         if a < b:
@@ -144,9 +150,12 @@ def part_of(doc_id: Column) -> Column:
     return F.when(held_out(doc_id, 7, 2), F.lit(SCORED)).when(fold, F.lit(FOLD)).otherwise(F.lit(COUNTED))
 
 
+def blocks_schema(docs: DataFrame) -> str:
+    return f"block long, part int, kind string, slice int, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, payload binary, rest binary"
+
+
 def blocks(docs: DataFrame, slices: int, block_tokens: int) -> DataFrame:
     """Rows (block, part, kind, slice, ids, payload, rest) of docs (doc_id, part, text); a block is of the fold or has none of it."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, open_blocks = TaskContext.get().partitionId(), 0, {}
@@ -170,7 +179,7 @@ def blocks(docs: DataFrame, slices: int, block_tokens: int) -> DataFrame:
             yield from packed(open_blocks.pop(part).rows(task << 24 | n, part, slices))
             n += 1
 
-    return docs.mapInArrow(run, f"block long, part int, kind string, slice int, ids array<{kind}>, payload binary, rest binary")
+    return map_arrow(docs, run, blocks_schema(docs))
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -288,7 +297,7 @@ def scores(met: DataFrame, kind: str, mix: np.ndarray, distinct: int, total: int
     return met.groupBy("block").applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: Column | None = None, block_tokens: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: Column | None = None, block_tokens: int = 2_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row for each of docs.
 
     part: the part of each document, by default part_of() its id.
@@ -296,8 +305,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part:
     rows = docs.select(F.col(id_col).alias("doc_id"), (part_of(F.col(id_col)) if part is None else part).cast("int").alias("part"), F.col(text_col).alias("text"))
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     slices = min(MOST_SLICES, max(8, size // SLICE_BYTES))
-    made = saved(blocks(rows, slices, block_tokens), "lm-blocks")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "lm-blocks")
+    blocks(rows, slices, block_tokens).write.partitionBy("kind").parquet(path)
+    made = spark.read.schema(blocks_schema(rows)).parquet(path)
     found = saved(answers(made.filter("kind != 'block'").select("block", "part", "kind", "slice", "payload", "rest")), "lm-answers")
+    for kind in ("word", "pair"):  # what was asked is answered, and makes up most of the table
+        discard(spark, f"{path}/kind={kind}")
+    made = spark.read.schema(blocks_schema(rows)).parquet(path)
     stats = [np.frombuffer(r["payload"], "<i8") for r in found.filter("block = -1 and kind = 'word'").select("payload").toLocalIterator()]
     rest_distinct, rest_total, distinct, total = (int(x) for x in (np.sum(stats, axis=0) if stats else np.zeros(4)))
     kind = rows.schema["doc_id"].dataType.simpleString()
