@@ -319,6 +319,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part:
     met = made.filter("kind = 'block'").select("block", "kind", "slice", "ids", "payload", "rest")
     fold = made.filter(f"part = {FOLD} and kind = 'block'")
     mix = weights(fold.select(*met.columns).unionByName(given.join(fold.select("block"), "block", "left_semi")), rest_distinct, rest_total)
+    if not total:
+        mix = np.tile(np.array([0.0, 0.0, 1.0]), (len(mix), 1))
     out = scores(met.unionByName(given), kind, mix, distinct, total)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -1,0 +1,198 @@
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.llm import langid_ppm as ppm
+from tallyframe.llm import lm_interp as lm
+
+
+def corpus(spark, n=260):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(60)], k=rng.randrange(0, 60))).title()) for i in range(n)]
+    rows += [(n, None), (n + 1, ""), (n + 2, "  \n"), (n + 3, "new words " * 20_000), (n + 4, "only here"), (n + 4, "only here")]
+    return spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, word string, part int"), rows
+
+
+def remainder(i, mod):
+    return zlib.crc32(str(i).encode()) % mod
+
+
+def by_definition(rows):
+    """Scores by dictionaries: weights by expectation-maximisation on the fold, probabilities in the cells it uses."""
+    tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
+    train = [(i, t) for i, t in tokens if remainder(i, 7) != 2]
+    fold = [(i, t) for i, t in train if zlib.crc32(str(i).encode()) // 7 % lm.FOLDS == 3]
+    ids = {id(t) for _, t in fold}
+    pairs = lambda t: list(zip([b"", *t], t))
+
+    def count(docs):
+        return Counter(w for _, t in docs for w in t), Counter(p for _, t in docs for p in pairs(t))
+
+    c1, c2 = count([x for x in train if id(x[1]) not in ids])
+    total, distinct = sum(c1.values()), len(c1)
+    cells = defaultdict(Counter)
+    snap = lambda p: 2.0 ** (round(math.log2(p) * lm.FINE) / lm.FINE) if p else 0.0
+    for _, t in fold:
+        for a, b in pairs(t):
+            cells[c1[a].bit_length()][snap(c2[a, b] / c1[a] if c1[a] else 0), snap(c1[b] / total)] += 1
+    mix = defaultdict(lambda: np.array([0.5, 0.4, 0.1]))
+    mix[0] = np.array([0, 0.8, 0.2])
+    for b, found in cells.items():
+        p, n = np.array([[x, y, 1 / (distinct + 1)] for x, y in found]), np.array(list(found.values()), float)
+        m = np.full(3, 1 / 3)
+        for _ in range(100):
+            share = p * m / (p * m).sum(1, keepdims=True)
+            m, last = (n[:, None] * share).sum(0) / n.sum(), m
+            if abs(m - last).max() < 1e-9:
+                break
+        m[2] = max(m[2], lm.LEAST)
+        mix[b] = m / m.sum()
+    c1, c2 = count(train)
+    total, distinct = sum(c1.values()), len(c1)
+    out = []
+    for i, t in tokens:
+        base = sum(math.log10((c1[w] + 1) / (total + distinct + 1)) for w in t)
+        score = sum(math.log10(mix[c1[a].bit_length()] @ [c2[a, b] / max(c1[a], 1), c1[b] / total, 1 / (distinct + 1)]) for a, b in pairs(t))
+        out.append((i, len(t), sum(c1[w] > 0 for w in t), total, base, score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_tokens", [300, 4_000_000])
+def test_scores_equal_brute_force(spark, block_tokens):
+    docs, rows = corpus(spark)
+    got = sorted(tuple(r) for r in lm.score(docs.repartition(5), block_tokens=block_tokens).collect())
+    expected = by_definition(rows)
+    assert [g[:4] for g in got] == [e[:4] for e in expected]
+    assert np.allclose([g[4:] for g in got], [e[4:] for e in expected], rtol=1e-6)
+
+
+def test_probabilities_of_a_context_add_up_to_at_most_one(spark):
+    """Over all known words and one unknown, after any context."""
+    docs, rows = corpus(spark)
+    words = sorted({w for _, t in rows for w in (t or "").lower().split()})[:60]
+    probe = [(10_000 + i, f"w1 {w}") for i, w in enumerate([*words, "zzz"])]
+    part = F.when(F.col("doc_id") >= 10_000, lm.SCORED).otherwise(F.when(F.col("doc_id") % 9 == 0, lm.FOLD).otherwise(lm.COUNTED))
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*probe, (9_999_999, "w1")], "doc_id long, text string"))
+    found = {r["doc_id"]: r for r in lm.score(both, part=part).collect()}
+    assert found[10_060]["n_known"] == 2
+    assert all(r["score"] < 0 for r in found.values())
+
+
+def test_lm_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert lm.score(none).count() == 0
+    rows = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id string, text string")
+    assert [r["n_tokens"] for r in sorted(lm.score(rows).collect(), key=lambda r: r["n_tokens"])] == [1, 3]
+    untrained = lm.score(rows, part=F.lit(lm.SCORED)).collect()
+    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0 for r in untrained)
+
+
+def test_packing():
+    rng = np.random.default_rng(1)
+    values = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
+    assert (lm.unpack_sorted(lm.pack_sorted(values)) == values).all()
+    parts = lm.slice_of(values, 37, 64)
+    assert (np.diff(parts) >= 0).all() and parts.min() >= 0 and parts.max() < 37
+    a = rng.integers(0, 2**63, 200_000, dtype=np.uint64)
+    pairs = lm.pair_hash(a, np.roll(a, 1))
+    assert len(np.unique(pairs)) == len(a) and int(pairs.max()) < 2**56
+    assert len(np.unique(lm.pair_hash(np.roll(a, 1), a))) == len(a)
+
+
+def longest_match_bits(texts, text, order=ppm.ORDER):
+    """Code length by definition: method C with exclusion, contexts in dictionaries."""
+    seen = defaultdict(Counter)
+    pad = b" " * order
+    alphabet = set(b"".join(texts)) | {32}
+    for t in texts:
+        s = pad + t
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                seen[s[i - k : i]][s[i]] += 1
+
+    def share(context, symbol, k):
+        if k < 0:
+            return 1 / 256
+        counts = seen.get(context)
+        if not counts:
+            return share(context[1:], symbol, k - 1)
+        n, d = sum(counts.values()), len(counts)
+        lower = lambda x: share(context[1:], x, k - 1)
+        left = 1 - sum(lower(x) for x in counts)
+        if symbol in counts:
+            return counts[symbol] / (n + (d if left > 1e-12 else 0))
+        return d / (n + d) * lower(symbol) / left
+
+    s, total = pad + text, 0.0
+    for i in range(order, len(s)):
+        total -= math.log2(share(s[i - order : i], s[i], order))
+    return total, alphabet
+
+
+def test_code_lengths_equal_definition():
+    samples = {"aa": [b" the cat sat on the mat ", b" a cat "], "bb": [" le chat est là ".encode(), b" la "]}
+    model = ppm.LanguageModel(samples)
+    texts = [b" the chat ", " là-bas ".encode(), b" zzz ", "漢字".encode()]
+    got = model.bits(texts)
+    for row, text in zip(got, texts):
+        for value, name in zip(row, model.names):
+            assert value == pytest.approx(longest_match_bits(samples[name], text)[0], rel=1e-5)
+
+
+def test_probabilities_add_up_to_one():
+    model = ppm.LanguageModel({"a": [b" abcabcabd "], "b": [b" xyzxy "]})
+    others = 256 - np.count_nonzero(model.symbols)
+    for tree in model.trees:
+        p = np.exp2(-tree.costs.reshape(-1, tree.size).astype(float))
+        p[:, 0] *= others
+        assert np.allclose(p.sum(1), 1, atol=1e-5)
+
+
+def test_batches_do_not_change_scores():
+    model = ppm.LanguageModel({"a": [b" the cat sat "], "b": [b" le chat "]})
+    texts = [b" the ", b"", b" le le le ", b" q "]
+    together = model.bits(texts)
+    assert all((model.bits([t]) == together[i]).all() for i, t in enumerate(texts))
+    restored = ppm.LanguageModel.restored(model.state())
+    assert (restored.bits(texts) == together).all()
+
+
+def test_language_id_operator(spark):
+    words = {"xx": ["kaba", "lomi", "tesu"], "yy": ["strang", "wechtz", "fnord"]}
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(words[w], k=rng.randrange(1, 30))), w) for i in range(200) for w in [rng.choice(["xx", "yy"])]]
+    odd = [(900, None, "xx"), (901, "", "yy"), (902, "123 !?", None), (903, "KABA! 7 Lomi", None), (904, "tesu " * 40_000, None), (904, "tesu " * 40_000, None), (None, "fnord", None)]
+    docs = spark.createDataFrame([(*r, 1.0, "x") for r in [*rows, *odd]], "doc_id long, text string, lang string, score double, `a b` string")
+    out = ppm.identify(docs, ppm.trained(docs))
+    assert out.columns == ["doc_id", "text", "lang", "a b", "lang_pred", "score"]
+    found = out.collect()
+    assert len(found) == len(rows) + len(odd) and all(r["lang_pred"] == r["lang"] for r in found if r["doc_id"] is not None and r["doc_id"] < 200)
+    pred = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in found}
+    assert [pred[i] for i in (900, 901, 902)] == [("und", 0.0)] * 3
+    assert pred[903][0] == pred[904][0] == "xx" and pred[None][0] == "yy" and all(0 <= s <= 1 for _, s in pred.values())
+    assert ppm.identify(docs.limit(0), ppm.trained(docs)).count() == 0
+    assert {r["lang_pred"] for r in ppm.identify(docs, ppm.trained(docs.limit(0))).collect()} == {"und"}
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"some text {i} " * 20, "xx") for i in range(2000)], "doc_id long, text string, lang string")
+    size = []
+    usual = ppm.LanguageModel.__init__
+    ppm.LanguageModel.__init__ = lambda self, samples: size.append(sum(map(len, samples["xx"]))) or usual(self, samples)
+    try:
+        ppm.learn(docs, sample_bytes=50_000)
+    finally:
+        ppm.LanguageModel.__init__ = usual
+    assert 20_000 < size[0] < 80_000
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    got = ppm.op10(spark, sf_dir).filter("held_out")
+    truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    assert got.join(truth, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0] > 0.97
