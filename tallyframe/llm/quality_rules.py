@@ -34,7 +34,7 @@ METRICS = {
     "symbols": ("n_symbols", "n_words", 1000, 150, "upper"),
     "shouting": ("n_upper", "word_chars", 1000, 200, "upper"),
     "marks": ("n_marks", "n_words", 1000, 350, "upper"),
-    "repeats": ("n_repeat_words", "n_words", 1000, 200, "upper"),
+    "repeats": ("n_repeat_words", "n_words", 1000, 450, "upper"),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, 500, "upper"),
     "word_length": ("word_chars", "n_words", 100, 300, "both"),
 }
