@@ -37,9 +37,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Places in scratch folders that this process has named and not discarded.
+_places: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared scratch folder."""
-    return f"{scratch_dir(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared scratch folder. What is written there stays until discard() or discard_all()."""
+    path = f"{scratch_dir(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+    _places.add(path)
+    return path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +62,13 @@ def discard(spark: SparkSession, path: str) -> None:
     """Deletes a place in the scratch folder that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _places.discard(path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes all that this process has saved, once the results that read it have been written."""
+    for path in list(_places):
+        discard(spark, path)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker: rows hold whole texts, and a task holds a few batches.

@@ -36,6 +36,9 @@ ORDER = 3
 
 UNKNOWN = "und"
 
+#: Languages that a model may have; it bounds what the driver learns from, with the sample of each.
+MOST_LANGUAGES = 1_000
+
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -148,7 +151,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     """A model of the languages in docs, from about sample_bytes bytes of text for each."""
     size = F.octet_length(text_col)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null").filter(size <= sample_bytes)
-    totals = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    totals = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: {lang_col} holds something else")
     steps = 1 << 30
     below = {lang: min(steps, int(steps * sample_bytes / max(total, 1)) + 1) for lang, total in totals.items()}
     if not below:

@@ -99,7 +99,7 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
 class Discriminant:
     """Means, inverse Cholesky factors and log determinants of two classes, and their log odds."""
 
-    def __init__(self, sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pool: float = 0.2, ridge: float = 0.02):
+    def __init__(self, sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pool: float = 0.5, ridge: float = 0.02):
         n = {k: s[0] for k, s in sums.items()}
         self.share = n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
         self.parts: list[tuple[np.ndarray, np.ndarray, float]] = []
