@@ -11,11 +11,11 @@ from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.config import ConfigError, ReconConfig
-from tallyframe.functions.compare import PROFILES, canon
+from tallyframe.functions.compare import PROFILES, canon, no_nan
 from tallyframe.functions.rules import parse_rule, valid
 from tallyframe.operators.align import align, on_keys, quoted
 
@@ -43,12 +43,15 @@ class ReconResult:
         self.compared = [i for i, m in enumerate(self.config.column_mappings) if m.file1_column not in keyed]
         self.rules = [parse_rule(m.validation_rule, legacy_numbers) for m in self.config.column_mappings]
         self.signed_percent, self.row_rule, self.row_check = signed_percent, row_rule, row_check
+        self._given: DataFrame | None = None
 
     # -- joins
 
     @cached_property
     def _joined(self) -> DataFrame:
         a, on = self.aligned, on_keys(self.aligned, self.profile)
+        if self._given is not None:
+            return self._given
         if self.join == "outer":
             return a.left.join(a.right, on, "full_outer")
         empty = lambda df: [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
@@ -209,6 +212,24 @@ def reconcile(df1: DataFrame, df2: DataFrame, config: ReconConfig, profile: str
     return ReconResult(df1, df2, config, profile, join, on_missing, legacy_numbers, signed_percent, row_rule, row_check)
 
 
+def reconcile_remote(spark: SparkSession, url: str, query1: str, query2: str, config: ReconConfig, profile: str = "text", **options) -> ReconResult:
+    """Reconciles two queries on one database, which does the join; null keys match nothing there, in either profile.
+
+    Of the classified rows, mismatches, exact rows and breakdown only the joined rows are transferred. The buckets
+    only_in_1 and only_in_2 and the row counts of the summary read the queries themselves.
+    """
+    from tallyframe.sources.sql import open_connection, remote_join
+
+    df1, df2 = (open_connection(url, q).load(spark) for q in (query1, query2))
+    found = ReconResult(df1, df2, config, profile, "outer", "error", options.get("legacy_numbers", False), options.get("signed_percent", False), options.get("row_rule"), options.get("row_check"))
+    maps = found.config.column_mappings
+    text = remote_join(query1, query2, [(k, found.config.second_name(k)) for k in found.keys], [(m.file1_column, m.file2_column) for m in maps])
+    rows = open_connection(url, text).load(spark)
+    types = {c: f.dataType for side in (found.aligned.left, found.aligned.right) for c, f in zip(side.columns, side.schema.fields)}
+    found._given = rows.select(*[(F.col(c) == 1 if c in ("p1", "p2") else no_nan(F.col(c).cast(t), t)).alias(c) for c, t in types.items()])
+    return found
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their number of rows: of these a join makes every pair."""
     return df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)

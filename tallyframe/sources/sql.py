@@ -140,15 +140,13 @@ def open_connection(url: str, query: str, **options) -> JdbcSource | SqliteSourc
     return JdbcSource(url, query, **options)
 
 
-def joined_remotely(url: str, query1: str, query2: str, keys: list[tuple[str, str]], mappings: list[tuple[str, str]], **options) -> DataFrame | JdbcSource:
-    """A source whose one query joins both queries in the database, for databases with FULL OUTER JOIN.
+def remote_join(query1: str, query2: str, keys: list[tuple[str, str]], columns: list[tuple[str, str]]) -> str:
+    """One query that joins two in the database, which must know FULL OUTER JOIN.
 
-    keys and mappings: (first, second) names. Columns: p1, p2 (1 where a side has the row), k<i>, v<i>1, v<i>2.
+    keys and columns: (first, second) names. Columns: p1 and p2, 1 where a side has the row, k<i>1, k<i>2, v<i>1, v<i>2.
     """
     q = lambda n: '"' + n.replace('"', '""') + '"'
-    picks = [f"COALESCE(a.{q(x)}, b.{q(y)}) AS k{i}" for i, (x, y) in enumerate(keys)]
-    picks += [f"a.{q(x)} AS v{i}1, b.{q(y)} AS v{i}2" for i, (x, y) in enumerate(mappings)]
+    pick = lambda kind, pairs: [f"a.{q(x)} AS {kind}{i}1, b.{q(y)} AS {kind}{i}2" for i, (x, y) in enumerate(pairs)]
     on = " AND ".join(f"a.{q(x)} = b.{q(y)}" for x, y in keys)
     side = lambda text: f"(SELECT s.*, 1 AS present FROM ({text.strip().rstrip(';')}) s)"
-    query = f"SELECT a.present AS p1, b.present AS p2, {', '.join(picks)} FROM {side(query1)} a FULL OUTER JOIN {side(query2)} b ON {on}"
-    return JdbcSource(url, query, **options)
+    return f"SELECT a.present AS p1, b.present AS p2, {', '.join(pick('k', keys) + pick('v', columns))} FROM {side(query1)} a FULL OUTER JOIN {side(query2)} b ON {on}"

@@ -8,12 +8,12 @@ import pytest
 from tallyframe.cli import main
 from tallyframe.config import ConfigError, ReconConfig
 from tallyframe.functions.rules import Rule, first_number, parse_rule
-from tallyframe.operators.reconcile import reconcile
+from tallyframe.operators.reconcile import reconcile, reconcile_remote
 from tallyframe.sinks import summary_lines, write_csv, write_json, write_tables, write_workbook
 from tallyframe.sources import CsvSource, ExcelSource, JdbcSource, ParquetSource, SqliteSource, connection_url, open_connection, open_source
 from tallyframe.sources.base import sample, schema
 from tallyframe.sources.paths import clean_path
-from tallyframe.sources.sql import joined_remotely
+from tallyframe.sources.sql import remote_join
 from tallyframe.streaming import reconcile_stream
 from tallyframe.suggest import by_similar_names, suggest_mapping, suggest_rule
 from tallyframe.templates import read_template, write_template
@@ -108,8 +108,18 @@ def test_jdbc(spark, tmp_path):
 
 
 def test_remote_join_text():
-    source = joined_remotely("jdbc:postgresql://h/d", "SELECT 1;", "SELECT 2", [("a", "b")], [("v", 'w"x')])
-    assert 'FULL OUTER JOIN' in source.query and 'b."w""x" AS v02' in source.query and 'COALESCE(a."a", b."b") AS k0' in source.query
+    query = remote_join("SELECT 1;", "SELECT 2", [("a", "b")], [("v", 'w"x')])
+    assert 'ON a."a" = b."b"' in query and 'b."w""x" AS v02' in query and 'a."a" AS k01' in query
+
+
+def test_join_in_the_database(spark, database):
+    config = ReconConfig.of("emp_id", [("emp_id", "emp_id"), ("salary", "salary", "within 1"), ("status", "status")])
+    second = "SELECT emp_id, salary + 0.5 AS salary, lower(status) AS status FROM staff WHERE n > 1 UNION ALL SELECT 'E7', 1.0, 'x'"
+    found = reconcile_remote(spark, f"sqlite:///{database}", "SELECT * FROM staff", second, config)
+    s = found.summary().first()
+    assert (s["total_rows_1"], s["total_rows_2"], s["only_in_1"], s["only_in_2"], s["mismatched_rows"], s["exact_rows"]) == (3, 3, 1, 1, 2, 0)
+    assert sorted(r["Primary Key"] for r in found.breakdown.collect()) == ["emp_id=E2", "emp_id=E3"]
+    assert [r["emp_id"] for r in found.only_in_1.collect()] == ["E1"]
 
 
 def config():
