@@ -2,7 +2,7 @@
 
 A full outer join on the keys, with a mark of presence from each side, classifies every row as only in the first table,
 only in the second, mismatched or exact. Everything is lazy: buckets are filters on the classified rows, and a bucket
-that needs one side only is an anti join of its own, which reads no values of the other side.
+that needs one side only is an anti join of its own, which reads no values of the other side, one of pairs an inner join.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ class ReconResult:
         self.rules = [parse_rule(m.validation_rule, legacy_numbers) for m in self.config.column_mappings]
         self.signed_percent, self.row_rule, self.row_check = signed_percent, row_rule, row_check
         self._given: DataFrame | None = None
+        self._kept = False
 
     # -- joins
 
@@ -63,23 +64,40 @@ class ReconResult:
         a, b = F.col(f"v{i}1"), F.col(f"v{i}2")
         return valid(a, b, *self.aligned.types[i], self.rules[i], self.profile, self.signed_percent)
 
-    @cached_property
-    def _classified(self) -> DataFrame:
-        """Internal names, with checks c<i>, extra (differences of the row rule) and _status."""
-        both = F.col("p1").isNotNull() & F.col("p2").isNotNull()
-        rows = self._joined.withColumns({f"c{i}": F.when(both, self._check(i)) for i in self.compared})
+    def _judged(self, rows: DataFrame, both: Column | None) -> tuple[DataFrame, Column]:
+        """rows with checks c<i>, row_ok and extra (differences of the row rule), and whether all is well. both: null if every row is in both tables."""
+        only = (lambda x: x) if both is None else (lambda x: F.when(both, x))
+        rows = rows.withColumns({f"c{i}": only(self._check(i)) for i in self.compared})
         good = _all([F.col(f"c{i}") for i in self.compared])
         if self.row_check is not None:
             rows = rows.withColumn("row", self._row_struct())
-            rows = rows.withColumn("row_ok", F.when(both, F.coalesce(self._row_condition(), F.lit(False)))).drop("row")
+            rows = rows.withColumn("row_ok", only(F.coalesce(self._row_condition(), F.lit(False)))).drop("row")
             good = good & F.col("row_ok")
         if self.row_rule is not None:
             from tallyframe.operators.row_rules import row_differences
 
-            rows = rows.withColumn("extra", F.when(both, row_differences(self.row_rule, self._row_struct())))
+            rows = rows.withColumn("extra", only(row_differences(self.row_rule, self._row_struct())))
             good = good & (F.size("extra") == 0)
-        status = F.when(F.col("p1").isNull(), ONLY_2).when(F.col("p2").isNull(), ONLY_1).when(good, EXACT).otherwise(MISMATCH)
-        return rows.withColumn("_status", status)
+        return rows, good
+
+    @cached_property
+    def _classified(self) -> DataFrame:
+        """Every row under internal names, with its checks and _status."""
+        both = F.col("p1").isNotNull() & F.col("p2").isNotNull()
+        rows, good = self._judged(self._joined, both)
+        return rows.withColumn("_status", F.when(F.col("p1").isNull(), ONLY_2).when(F.col("p2").isNull(), ONLY_1).when(good, EXACT).otherwise(MISMATCH))
+
+    @cached_property
+    def _paired(self) -> DataFrame:
+        """The rows that are in both tables: by an inner join, unless all classified rows are kept or joined elsewhere.
+
+        An inner join may be broadcast, its skewed partitions are split, and what filters its rows goes into the join.
+        """
+        if self._kept or self._given is not None:
+            return self._classified.filter(F.col("_status").isin(MISMATCH, EXACT))
+        a = self.aligned
+        rows, good = self._judged(a.left.join(a.right, on_keys(a, self.profile), "inner"), None)
+        return rows.withColumn("_status", F.when(good, EXACT).otherwise(MISMATCH))
 
     def _row_struct(self) -> Column:
         maps = self.config.column_mappings
@@ -107,15 +125,19 @@ class ReconResult:
 
     # -- results
 
+    def _shown(self, rows: DataFrame) -> DataFrame:
+        maps = self.config.column_mappings
+        checks = [F.col(f"c{i}").alias(f"{maps[i].file1_column}_IsValid") for i in self.compared]
+        return rows.select(*self._key_columns(), *self._values(), *checks, "_status")
+
     @cached_property
     def classified(self) -> DataFrame:
         """Keys, File1_ and File2_ values, <column>_IsValid (null unless in both tables) and _status."""
-        maps = self.config.column_mappings
-        checks = [F.col(f"c{i}").alias(f"{maps[i].file1_column}_IsValid") for i in self.compared]
-        return self._classified.select(*self._key_columns(), *self._values(), *checks, "_status")
+        return self._shown(self._classified)
 
     def persist(self) -> ReconResult:
-        """Keeps the classified rows, for when more than one bucket is read."""
+        """Keeps the classified rows, for when several buckets are read; call it before the first of them."""
+        self._kept = True
         self._classified.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
@@ -141,15 +163,16 @@ class ReconResult:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return self.classified.filter(F.col("_status").isin(MISMATCH, EXACT))
+        """Rows in both tables, exact or not."""
+        return self._shown(self._paired)
 
     @cached_property
     def mismatches(self) -> DataFrame:
-        return self.classified.filter(F.col("_status") == MISMATCH).drop("_status")
+        return self._shown(self._paired.filter(F.col("_status") == MISMATCH)).drop("_status")
 
     @cached_property
     def exact(self) -> DataFrame:
-        return self.classified.filter(F.col("_status") == EXACT).drop("_status")
+        return self._shown(self._paired.filter(F.col("_status") == EXACT)).drop("_status")
 
     def _differences(self) -> Column:
         """The failing cells of a row, in the order of the mappings, values as text."""
@@ -175,7 +198,7 @@ class ReconResult:
     @cached_property
     def differences(self) -> DataFrame:
         """One row for each mismatched row: keys and an array of its failing cells."""
-        bad = self._classified.filter(F.col("_status") == MISMATCH)
+        bad = self._paired.filter(F.col("_status") == MISMATCH)
         return bad.select(*self._key_columns(), self._differences().alias("differences"))
 
     @cached_property

@@ -35,7 +35,7 @@ def row_differences(rule: Callable[[dict], list[dict]], row: Column) -> Column:
         except Exception as e:  # the rule is the user's: whatever it raises is reported with the row
             return [("Rule Execution Error", "Rule Execution Error", "Error", "Error", "row rule", str(e))]
 
-    return F.udf(run, DIFFERENCE)(row)
+    return F.udf(run, DIFFERENCE, useArrow=True)(row)  # rows go to Python in Arrow batches
 
 
 #: Functions that an SQL rule may call.

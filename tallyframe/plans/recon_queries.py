@@ -79,6 +79,22 @@ def _composite(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("_status").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def _lines(profile: str) -> Callable[[SparkSession, str], DataFrame]:
+    """lineitem, whose keys repeat, with itself: every 97th order gone, quantities and flags changed."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        lines, k = table(s, d, "lineitem"), F.col("l_orderkey")
+        changed = lines.filter(k % 97 != 0).select(
+            k.alias("order_no"), F.col("l_linenumber").alias("line_no"),
+            F.when(k % 13 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).alias("quantity"),
+            F.when(k % 11 == 0, F.lower("l_returnflag")).otherwise(F.col("l_returnflag")).alias("flag"),
+        )
+        config = ReconConfig.of(["l_orderkey", "l_linenumber"], [("l_orderkey", "order_no"), ("l_linenumber", "line_no"), ("l_quantity", "quantity"), ("l_returnflag", "flag", "Ignore case")])
+        return reconcile(lines, changed, config, profile).summary().drop("rules_not_understood")
+
+    return run
+
+
 def _by_name(s: SparkSession, d: str) -> DataFrame:
     a, b = table(s, d, "supplier"), table(s, d, "supplier").filter("s_suppkey % 7 != 0")
     b = b.select(*[F.col(c).alias(c.upper()) for c in b.columns])
@@ -140,6 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_key_eq": _nation("text"),
     "null_key_nullsafe": _nation("typed"),
     "composite_key_dups": _composite,
+    "lines_typed": _lines("typed"),
+    "lines_text": _lines("text"),
     "duplicate_keys": lambda s, d: duplicate_keys(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
     "unmapped_key": lambda s, d: reconcile(first(s, d), first(s, d).filter("o_orderkey % 7 != 0"), ReconConfig.of("o_orderkey", {"o_custkey": "o_custkey"})).summary().drop("rules_not_understood"),
     "ignored_column": lambda s, d: _bad_keys(orders_result(s, d, STATUS, TOTAL, ignore=("o_totalprice",))),
@@ -204,6 +222,15 @@ SELECT coalesce(a.r, b.r) AS n_regionkey, a.n_nationkey AS "File1_n_nationkey",
 FROM n a FULL OUTER JOIN n b ON {on}"""
 
 
+_LINES = """
+WITH c AS (
+  SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_orderkey % 13 = 0 THEN l_quantity + 1 ELSE l_quantity END AS q, l_returnflag AS r FROM lineitem WHERE l_orderkey % 97 <> 0),
+p AS (SELECT l_quantity = q AND l_returnflag = r AS good FROM lineitem JOIN c ON l_orderkey = k AND l_linenumber = n),
+t AS (SELECT (SELECT count(*) FROM lineitem) AS a, (SELECT count(*) FROM c) AS b)
+SELECT a AS total_rows_1, b AS total_rows_2, a - b AS row_count_difference, a - b AS only_in_1, 0::BIGINT AS only_in_2,
+       (SELECT count(*) FROM p WHERE NOT good) AS mismatched_rows, (SELECT count(*) FROM p WHERE good) AS exact_rows FROM t"""
+
+
 ORACLES: dict[str, str] = {
     "source_row_count": "SELECT count(*) AS total_rows_1 FROM orders",
     "target_row_count": f"{_WITH}SELECT count(*) AS total_rows_2 FROM g",
@@ -245,6 +272,8 @@ FROM f FULL OUTER JOIN g ON o_orderkey = order_id""",
     "composite_key_dups": """
 SELECT CASE WHEN a.l_quantity IS NOT DISTINCT FROM b.l_quantity THEN 'exact' ELSE 'mismatch' END AS _status, count(*) AS pairs
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY 1""",
+    "lines_typed": _LINES,
+    "lines_text": _LINES,
     "duplicate_keys": 'SELECT l_orderkey, l_linenumber, count(*) AS "rows" FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1',
     "unmapped_key": """
 WITH n AS (SELECT count(*) AS a, count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS b FROM orders)

@@ -50,12 +50,14 @@ def _one_csv(df: DataFrame, path: Path) -> int:
 
 
 def write_csv(result: ReconResult, folder: str | Path, exact: bool = False) -> dict[str, Path]:
-    """report_mismatches.csv (a line for each failing cell), report_only_in_file1.csv and report_only_in_file2.csv, and report_exact_matches.csv if asked for. Empty ones are not written."""
+    """report_mismatches.csv (a line for each failing cell), report_only_in_file1.csv and report_only_in_file2.csv, and report_exact_matches.csv if asked for, ordered by key. Empty ones are not written."""
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
     keys = result.keys
-    cells = result.breakdown.drop(*keys) if not set(keys) & {"Primary Key", "Column"} else result.breakdown
-    tables = {"mismatches": cells, "only_in_file1": result.only_in_1, "only_in_file2": result.only_in_2} | ({"exact_matches": result.exact} if exact else {})
+    ordered = lambda df: df.orderBy(*[quoted(k) for k in keys])
+    cells = ordered(result.breakdown)
+    cells = cells.drop(*keys) if not set(keys) & {"Primary Key", "Column"} else cells
+    tables = {"mismatches": cells, "only_in_file1": ordered(result.only_in_1), "only_in_file2": ordered(result.only_in_2)} | ({"exact_matches": ordered(result.exact)} if exact else {})
     found = {name: folder / f"report_{name}.csv" for name in tables}
     return {name: path for name, path in found.items() if _one_csv(_texts(tables[name]), path)}
 

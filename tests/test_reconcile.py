@@ -199,6 +199,18 @@ def test_only_compared_columns_are_read(spark, sf_dir):
     assert "o_custkey" not in plan and "o_totalprice" not in plan and "Python" not in plan
 
 
+def test_buckets_of_pairs_need_no_outer_join(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    config = ReconConfig.of("o_orderkey", {"o_orderstatus": "o_orderstatus"})
+    found = reconcile(orders, orders, config)
+    for df in (found.matched, found.mismatches, found.exact, found.breakdown, found.only_in_1, found.only_in_2):
+        assert "FullOuter" not in df._jdf.queryExecution().executedPlan().toString()
+    kept = reconcile(orders, orders, config).persist()
+    assert kept.exact.count() == found.exact.count() == orders.count()
+    assert "InMemoryTableScan" in kept.exact._jdf.queryExecution().executedPlan().toString()
+    kept.unpersist()
+
+
 cells = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.one_of(st.none(), st.integers(0, 2))), max_size=8)
 
 
@@ -213,6 +225,10 @@ def test_properties(spark, one, two, profile):
     assert counts(turned) == (only2, only1, bad, good)
     assert counts(reconcile(a, b, config, profile, join="split")) == (only1, only2, bad, good)
     assert (found.only_in_1.count(), found.only_in_2.count()) == (only1, only2)
+    assert (found.mismatches.count(), found.exact.count(), found.matched.count()) == (bad, good, bad + good)
+    kept = reconcile(a, b, config, profile).persist()
+    assert sorted(map(str, kept.matched.collect())) == sorted(map(str, found.matched.collect()))
+    kept.unpersist()
     assert found.breakdown.count() >= bad and (found.breakdown.count() > 0) == (bad > 0)
     if profile == "typed":
         pairs = sum(x[0] == y[0] for x in one for y in two)
