@@ -83,7 +83,7 @@ def _described(tag: str, raw: str) -> tuple[str, bool, int]:
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
     skip = hidden or tag in NEVER or bool(words & MARKS) and tag not in ("html", "body", "main")
-    if not article and tag in BLOCK and words & ARTICLE_WORDS:
+    if not article and tag in BLOCK and tag not in ("html", "body") and words & ARTICLE_WORDS:
         article = 1
     return ".".join([tag, *sorted(set(names))]), skip, article
 
@@ -301,8 +301,9 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
             if best == 3:
                 continue  # articles within an article are part of it
         todo += reversed(node.nodes)
-    if best == 1 and len(places) > 1:
-        places = [max(places, key=lambda n: len(n.text))]
+    if best == 1:  # named as an article only: the innermost that holds most of what any of them holds
+        most = max(len(n.text) for n in places)
+        places = [max((n for n in places if len(n.text) >= 0.7 * most), key=lambda n: n.path.count("/"))]
     if best == 2:
         places = places[:1]
     out: list[str] = []

@@ -23,6 +23,7 @@ def text(page, template=()):
     ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]),
     ("<header>top</header><article><header><h1>H</h1></header><p>x</p></article>", ["H", "x"]),
     ("<textarea><p>t</p></textarea><title>no</title><p hidden>h</p><p style='display: none'>n</p>ok", ["ok"]),
+    ("<body class='post'><div>menu text</div><div id='main'><p>t</p><div class='entry-content'><p>long enough story</p></div></div>", ["long enough story"]),
     ("", []), (None, []), ("   ", []), ("<nav>only</nav>", []),
 ])
 def test_blocks(page, blocks):
