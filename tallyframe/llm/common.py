@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -58,6 +59,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a place in the scratch folder that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,9 +9,10 @@ All counts are over all training documents, and the whole work is in blocks of d
 any frequency and needs no row a token:
 
 1. `blocks`: each task turns its documents into blocks of about `block_tokens` tokens. A block keeps its tokens as
-   numbers into the block's own word list, and asks for counts: the 64-bit hashes of its distinct words and bigrams,
-   sorted, cut into slices of the hash range and packed, with the block's own counts.
-2. `answers`: each slice adds up the counts of all blocks, and answers each block in the order that it asked in.
+   numbers into the block's own word list, and the 64-bit hashes of these words. Blocks are a table in the scratch folder.
+2. `asks`: a block asks for counts with the hashes of its distinct words and pairs, sorted, cut into slices of the hash
+   range and packed, with its own counts. `answers`: each slice adds up the counts of all blocks, and answers each block
+   in the order that it asked in.
 3. `weights` and `scores`: a block meets its answers, and has all it needs.
 
 What is dealt by slice or block is even whatever the text: a block asks once for a word, however often it has it.
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import discard, held_out, map_arrow, saved, scratch_path, table
+from tallyframe.llm.common import free_shuffles, held_out, map_arrow, saved, table
 
 #: Training documents whose tokens the weights are learned on: one in so many, by remainder.
 FOLDS = 11
@@ -113,18 +114,31 @@ class _Block:
         self.counted.append(counted)
         self.size += len(words)
 
-    def rows(self, block: int, part: int, slices: int) -> Iterator[tuple]:
-        """(block, part, kind, slice, ids, payload, rest) of the block and of what it asks."""
-        sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
-        tokens, self.tokens = np.concatenate(self.tokens), []
-        words = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        self.words = {}
-        yield block, part, "block", 0, self.ids, pack(tokens.astype("<u4")), words.astype("<u8").tobytes() + sizes.astype("<i8").tobytes()
-        counted = np.repeat(np.array(self.counted, bool), sizes)
-        order = np.argsort(words)
-        yield from _asked(block, part, "word", slices, words[order], np.bincount(tokens[counted], minlength=len(words))[order])
-        hashes = pair_hash(words[_pairs(tokens, sizes, 0)], words[tokens])
-        del tokens
+    def row(self, block: int, part: int) -> tuple:
+        """(block, part, ids, tokens, rest): rest is the hashes of the words, the documents' sizes, and which of them are counted."""
+        sizes = np.fromiter(map(len, self.tokens), "<i8", len(self.tokens))
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), "<u8", len(self.words))
+        return block, part, self.ids, pack(np.concatenate(self.tokens).astype("<u4")), words.tobytes() + sizes.tobytes() + bytes(self.counted)
+
+
+class _Tokens:
+    """What a block's row holds."""
+
+    def __init__(self, documents: int, tokens: bytes, rest: bytes):
+        end = len(rest) - 9 * documents
+        self.tokens, self.words = unpack(tokens, "<u4"), np.frombuffer(rest, "<u8", end // 8)
+        self.sizes = np.frombuffer(rest, "<i8", documents, end)
+        self.counted = np.frombuffer(rest, np.bool_, documents, end + 8 * documents)
+        self.before = _pairs(self.tokens, self.sizes, 0)
+
+    def pairs(self) -> np.ndarray:
+        return pair_hash(self.words[self.before], self.words[self.tokens])
+
+    def asks(self, block: int, part: int, slices: int) -> Iterator[tuple]:
+        """The rows (block, part, kind, slice, hashes, counts) by which the block asks for the counts of all."""
+        counted, order = np.repeat(self.counted, self.sizes), np.argsort(self.words)
+        yield from _asked(block, part, "word", slices, self.words[order], np.bincount(self.tokens[counted], minlength=len(self.words))[order])
+        hashes = self.pairs()
         if counted.all():
             asked, counts = np.unique(hashes, return_counts=True)
         else:
@@ -141,7 +155,7 @@ def _asked(block: int, part: int, kind: str, slices: int, asked: np.ndarray, cou
     for k in range(slices):
         a, b = edges[k], edges[k + 1]
         if a < b:
-            yield block, part, kind, k, None, pack_sorted(asked[a:b]), pack(counts[a:b].astype("<u4"))
+            yield block, part, kind, k, pack_sorted(asked[a:b]), pack(counts[a:b].astype("<u4"))
 
 
 def part_of(doc_id: Column) -> Column:
@@ -150,36 +164,43 @@ def part_of(doc_id: Column) -> Column:
     return F.when(held_out(doc_id, 7, 2), F.lit(SCORED)).when(fold, F.lit(FOLD)).otherwise(F.lit(COUNTED))
 
 
-def blocks_schema(docs: DataFrame) -> str:
-    return f"block long, part int, kind string, slice int, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, payload binary, rest binary"
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for row in rows:  # one at a time: some are large
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
 
 
-def blocks(docs: DataFrame, slices: int, block_tokens: int) -> DataFrame:
-    """Rows (block, part, kind, slice, ids, payload, rest) of docs (doc_id, part, text); a block is of the fold or has none of it."""
+def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
+    """Rows (block, part, ids, tokens, rest) of docs (doc_id, part, text); a block is of the fold or has none of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n, open_blocks = TaskContext.get().partitionId(), 0, {}
-        schema = None
-
-        def packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-            for row in rows:  # one at a time: some are large
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
-
+        task, n, open_blocks, schema = TaskContext.get().partitionId(), 0, {}, None
         for batch in batches:
-            schema = schema or pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.string()), ("slice", pa.int32()), ("ids", pa.list_(batch.schema.field(0).type)), ("payload", pa.binary()), ("rest", pa.binary())])
+            schema = schema or pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(batch.schema.field(0).type)), ("tokens", pa.binary()), ("rest", pa.binary())])
             for ident, part, text in zip(*batch.columns):
                 counted = part.as_py() != SCORED
                 part = FOLD if part.as_py() == FOLD else COUNTED
                 block = open_blocks.setdefault(part, _Block())
                 block.add(ident.as_py(), text.as_py(), counted)
                 if block.size >= block_tokens:
-                    yield from packed(open_blocks.pop(part).rows(task << 24 | n, part, slices))
+                    yield from _batches([open_blocks.pop(part).row(task << 24 | n, part)], schema)
                     n += 1
         for part in list(open_blocks):
-            yield from packed(open_blocks.pop(part).rows(task << 24 | n, part, slices))
+            yield from _batches([open_blocks.pop(part).row(task << 24 | n, part)], schema)
             n += 1
 
-    return map_arrow(docs, run, blocks_schema(docs))
+    return map_arrow(docs, run, f"block long, part int, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, tokens binary, rest binary")
+
+
+def asks(made: DataFrame, slices: int) -> DataFrame:
+    """(block, part, kind, slice, hashes, counts): what the blocks ask for."""
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.string()), ("slice", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, part, n, tokens, rest in zip(*(c.to_pylist() for c in batch.columns[:3]), *batch.columns[3:]):
+                yield from _batches(_Tokens(n, tokens.as_py(), rest.as_py()).asks(block, part, slices), schema)
+
+    return map_arrow(made.select("block", "part", F.size("ids").alias("n"), "tokens", "rest"), run, "block long, part int, kind string, slice int, hashes binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -190,11 +211,11 @@ def answers(asked: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         kind, k = group["kind"][0].as_py(), group["slice"][0].as_py()
-        hashes = [unpack_sorted(x.as_py()) for x in group["payload"]]
+        hashes = [unpack_sorted(x.as_py()) for x in group["hashes"]]
         known, at = np.unique(np.concatenate(hashes), return_inverse=True)
         sums, start = np.zeros((2, len(known)), np.int64), 0
         starts = np.cumsum([0] + [len(h) for h in hashes])
-        for start, end, part, own in zip(starts, starts[1:], group["part"].to_pylist(), group["rest"]):
+        for start, end, part, own in zip(starts, starts[1:], group["part"].to_pylist(), group["counts"]):
             sums[part][at[start:end]] += unpack(own.as_py(), "<u4")  # a block's hashes are distinct
         whole = sums.sum(0)
         stat = np.array([np.count_nonzero(sums[0]), sums[0].sum(), np.count_nonzero(whole), whole.sum()], "<i8").tobytes()
@@ -207,30 +228,25 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("kind", "slice").applyInArrow(run, "block long, kind string, slice int, payload binary, rest binary")
 
 
-class _Counts:
-    """A block with the counts of its words and pairs, from its rows."""
+class _Counts(_Tokens):
+    """A block with the counts of its words and pairs, from its row and its answers."""
 
     def __init__(self, group: pa.Table):
-        rows = {}
         parts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {"word": {}, "pair": {}}
         for kind, k, ids, payload, rest in zip(*(group[c] for c in ("kind", "slice", "ids", "payload", "rest"))):
             kind = kind.as_py()
             if kind == "block":
-                rows = (ids, payload.as_py(), rest.as_py())
+                self.ids = ids
+                super().__init__(len(ids), payload.as_py(), rest.as_py())
             else:
                 parts[kind][k.as_py()] = unpack(payload.as_py(), "<u4"), unpack(rest.as_py(), "<u4")
-        self.ids, payload, rest = rows
-        self.tokens = unpack(payload, "<u4")
-        n = len(self.ids)
-        words, self.sizes = np.frombuffer(rest[: len(rest) - 8 * n], "<u8"), np.frombuffer(rest[len(rest) - 8 * n :], "<i8")
         put = lambda kind, j: np.concatenate([parts[kind][k][j] for k in sorted(parts[kind])])
-        order = np.argsort(words)
-        self.word = np.empty((2, len(words)), np.uint32)
+        order = np.argsort(self.words)
+        self.word = np.empty((2, len(self.words)), np.uint32)
         for j in (0, 1):
             self.word[j, order] = put("word", j)
-        self.before = _pairs(self.tokens, self.sizes, 0)
-        at = np.unique(pair_hash(words[self.before], words[self.tokens]), return_inverse=True)[1].astype(np.uint32)
-        self.at, self.pair = at, [put("pair", j) for j in (0, 1)]
+        self.at = np.unique(self.pairs(), return_inverse=True)[1].astype(np.uint32)
+        self.pair = [put("pair", j) for j in (0, 1)]
 
     def parts(self, most: int = 1 << 18) -> Iterator[tuple[slice, slice]]:
         """Documents and their tokens, about `most` tokens at a time."""
@@ -305,20 +321,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part:
     rows = docs.select(F.col(id_col).alias("doc_id"), (part_of(F.col(id_col)) if part is None else part).cast("int").alias("part"), F.col(text_col).alias("text"))
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     slices = min(MOST_SLICES, max(8, size // SLICE_BYTES))
-    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "lm-blocks")
-    blocks(rows, slices, block_tokens).write.partitionBy("kind").parquet(path)
-    made = spark.read.schema(blocks_schema(rows)).parquet(path)
-    found = saved(answers(made.filter("kind != 'block'").select("block", "part", "kind", "slice", "payload", "rest")), "lm-answers")
-    for kind in ("word", "pair"):  # what was asked is answered, and makes up most of the table
-        discard(spark, f"{path}/kind={kind}")
-    made = spark.read.schema(blocks_schema(rows)).parquet(path)
+    made = saved(blocks(rows, block_tokens), "lm-blocks")
+    found = saved(answers(asks(made, slices)), "lm-answers")
+    free_shuffles(docs.sparkSession)  # what was asked is answered, and is the most that this moves
     stats = [np.frombuffer(r["payload"], "<i8") for r in found.filter("block = -1 and kind = 'word'").select("payload").toLocalIterator()]
     rest_distinct, rest_total, distinct, total = (int(x) for x in (np.sum(stats, axis=0) if stats else np.zeros(4)))
     kind = rows.schema["doc_id"].dataType.simpleString()
     given = found.filter("block >= 0").select("block", "kind", "slice", F.lit(None).cast(f"array<{kind}>").alias("ids"), "payload", "rest")
-    met = made.filter("kind = 'block'").select("block", "kind", "slice", "ids", "payload", "rest")
-    fold = made.filter(f"part = {FOLD} and kind = 'block'")
-    mix = weights(fold.select(*met.columns).unionByName(given.join(fold.select("block"), "block", "left_semi")), rest_distinct, rest_total)
+    met = made.select("block", F.lit("block").alias("kind"), F.lit(0).alias("slice"), "ids", F.col("tokens").alias("payload"), "rest", "part")
+    fold, met = met.filter(F.col("part") == FOLD).drop("part"), met.drop("part")
+    mix = weights(fold.unionByName(given.join(fold.select("block"), "block", "left_semi")), rest_distinct, rest_total)
     if not total:
         mix = np.tile(np.array([0.0, 0.0, 1.0]), (len(mix), 1))
     out = scores(met.unionByName(given), kind, mix, distinct, total)
