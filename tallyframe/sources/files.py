@@ -48,7 +48,11 @@ def typed(df: DataFrame, null_tokens: tuple[str, ...] = NULL_TOKENS, keep: tuple
 
 @dataclass(frozen=True)
 class CsvSource:
-    """A CSV file with a header. schema: the types, if they are not to be found out; all_strings: texts as they are."""
+    """A CSV file with a header.
+
+    schema: the types, if they are not to be found out; all_strings: texts as they are; multi_line: quoted cells may hold
+    line breaks, for which each file is read by one task.
+    """
 
     path: str
     null_tokens: tuple[str, ...] = NULL_TOKENS
@@ -56,9 +60,10 @@ class CsvSource:
     keep_strings: tuple[str, ...] = ()
     schema: T.StructType | str | None = None
     delimiter: str = ","
+    multi_line: bool = False
 
     def load(self, spark: SparkSession) -> DataFrame:
-        reader = spark.read.option("header", True).option("sep", self.delimiter).option("quote", '"').option("escape", '"').option("multiLine", False)
+        reader = spark.read.option("header", True).option("sep", self.delimiter).option("quote", '"').option("escape", '"').option("multiLine", self.multi_line)
         path = clean_path(self.path)
         if self.schema is not None:
             return reader.schema(self.schema).csv(path)

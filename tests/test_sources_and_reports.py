@@ -36,6 +36,18 @@ def test_csv_types_and_nulls(spark, pair):
     assert CsvSource(pair[0], schema="id int, zip string, price string, day string, flag string, note string").load(spark).dtypes[0] == ("id", "int")
 
 
+def test_cells_with_line_breaks(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('id,note\n1,"two\nlines"\n2,"say ""hi"""\n')
+    rows = CsvSource(str(tmp_path / "m.csv"), multi_line=True).load(spark).collect()
+    assert [(r["id"], r["note"]) for r in rows] == [(1, "two\nlines"), (2, 'say "hi"')]
+
+
+def test_an_empty_file_of_rows(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("id,v\n")
+    df = CsvSource(str(tmp_path / "e.csv")).load(spark)
+    assert df.columns == ["id", "v"] and df.count() == 0
+
+
 def test_open_source(spark, pair, tmp_path):
     assert isinstance(open_source("x.PARQUET"), ParquetSource) and isinstance(open_source("x.xlsx"), ExcelSource)
     assert sample(open_source(pair[1]), spark, 2).count() == 2
