@@ -170,10 +170,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """The rows of docs that stand for their component: of each, one row of the smallest id stays."""
     marked = _grouped(docs, id_col, text_col, width, max_bits)
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
-    gone = marked.filter(~stays).select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct()
-    rows = docs.select(nested(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
-    kept = rows.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("th") == F.col("gone_th")), "left_anti").dropDuplicates(["id", "th"])
-    return unnested(kept, docs.columns)
+    keys = ["key", "null", "th"]  # equal without nulls, so that rows meet and repeat under one partitioning
+    keyed = lambda ident: [F.coalesce(ident.cast("string"), F.lit("")).alias("key"), ident.isNull().alias("null")]
+    gone = marked.filter(~stays).select(*keyed(F.col("doc_id")), "th").distinct()
+    rows = docs.select(nested(docs).alias("row"), *keyed(F.col(id_col)), F.xxhash64(text_col).alias("th"))
+    return unnested(rows.join(gone, keys, "left_anti").dropDuplicates(keys), docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
