@@ -5,11 +5,17 @@ significant digits of a value (an HDR histogram): its cells are counts, so sketc
 the same sketch, and a quantile is off by under 1 %. There is one sketch a metric for each (language, source), for each
 language and for all documents, the coarser ones merged from the finer.
 
-A group's fence is its upper quartile plus `spread` times the distance from the median to it (mirrored below for metrics
-that have a lower fence), at least the metric's `least` away from the median, so that a metric which is constant in a
-group doesn't fail for a trifle. A group of fewer than `min_docs` documents takes the fences of its language, and a
-language of fewer takes those of all documents. Only documents that pass the base rules are sketched. Thresholds are
-joined to the documents by language and source, and a document is kept if it is inside all fences.
+A group's fence comes from its own quantiles, alike for all metrics. It starts `spread` times the distance from the
+median to the upper quartile above that quartile; where that distance is below what the metric can resolve, one event in a
+document of the group's lower quartile of length, the resolution stands for it. From there it climbs RUNGS, the higher
+quantiles: one that lies within the fence so far belongs to the same tail and moves the fence to `spread` times its own
+distance from the median above it; one beyond the fence, after a gap, ends the climb. A small share of documents of
+another kind so leaves a group's fence where the others put it, and a long but unbroken tail passes. Metrics with a lower
+fence have it by the mirrored rule.
+
+A group of fewer than `min_docs` documents takes the fences of its language, and a language of fewer takes those of all
+documents, as their high quantiles would be single documents. Only documents that pass the base rules are sketched.
+Thresholds are joined to the documents by language and source, and a document is kept if it is inside all fences.
 
 Defined cases: a null or empty text has no words and fails the base rules. A null language or source is a group of its
 own. Rows that repeat count as often as they occur. An empty table gives an empty result. Columns beyond id, text,
@@ -19,26 +25,34 @@ language and source are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import lookup, map_arrow, saved, table
 
-#: Metric: (numerator, denominator, scale, least distance of a fence from the median, sides). Values are
-#: scale * numerator / denominator, rounded down.
+#: Metric: (numerator, denominator, scale, sides). Values are scale * numerator / denominator, rounded down.
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 1000, 150, "upper"),
-    "shouting": ("n_upper", "word_chars", 1000, 200, "upper"),
-    "marks": ("n_marks", "n_words", 1000, 350, "upper"),
-    "repeats": ("n_repeat_words", "n_words", 1000, 450, "upper"),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 500, "upper"),
-    "word_length": ("word_chars", "n_words", 100, 300, "both"),
+    "symbols": ("n_symbols", "n_words", 1000, "upper"),
+    "shouting": ("n_upper", "word_chars", 1000, "upper"),
+    "marks": ("n_marks", "n_words", 1000, "upper"),
+    "repeats": ("n_repeat_words", "n_words", 1000, "upper"),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, "upper"),
+    "word_length": ("word_chars", "n_words", 100, "both"),
 }
 
+#: The denominators, whose sketches tell what a metric can resolve.
+SIZES = tuple(dict.fromkeys(x[1] for x in METRICS.values()))
+
+#: Quantiles in thousandths that a fence climbs beyond the quartile, and those mirrored for lower fences.
+RUNGS = (800, 850, 900, 920, 940, 950, 960, 970, 980, 985, 990, 995)
+
+#: Documents below which a group takes a coarser group's fences, and how many of its distances a tail may reach on.
+MIN_DOCS, SPREAD = 400, 3
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 
 _SYMBOL = re.compile(r"[#*$%&|<>]+")
@@ -92,7 +106,7 @@ def base_failed() -> Column:
 
 
 def metric(name: str) -> Column:
-    over, under, scale, _, _ = METRICS[name]
+    over, under, scale, _ = METRICS[name]
     return F.when(F.col(under) > 0, F.floor(F.lit(scale) * F.col(over) / F.col(under))).otherwise(F.lit(0)).cast("long")
 
 
@@ -103,41 +117,85 @@ def cell(value: Column) -> Column:
 
 
 def sketches(measures: DataFrame) -> DataFrame:
-    """(lang, source, metric, cell, n): the sketches of each language and source."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), cell(metric(m)).alias("cell")) for m in METRICS]))
+    """(lang, source, metric, cell, n): the sketches of METRICS and SIZES of each language and source."""
+    values = {**{m: metric(m) for m in METRICS}, **{c: F.col(c) for c in SIZES}}
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), cell(v).alias("cell")) for m, v in values.items()]))
     return measures.select("lang", "source", pairs.alias("m")).groupBy("lang", "source", "m.metric", "m.cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(cells: DataFrame, by: list[str], spread: float) -> DataFrame:
-    """(*by, docs, and lower and upper fence of each metric) from sketches, merged to the groups `by`."""
+def quantiles(sketch: dict[int, int], thousandths: Iterable[int]) -> list[int]:
+    """The least cell up to which at least so many thousandths of a sketch's values lie."""
+    cells = np.array(sorted(sketch), np.int64)
+    upto = np.cumsum([sketch[c] for c in cells.tolist()])
+    return cells[np.searchsorted(1000 * upto, np.array(list(thousandths)) * upto[-1])].tolist()
+
+
+def fence(sketch: dict[int, int], unit: int, spread: int, sides: str) -> tuple[int, int]:
+    """The upper and the lower fence of a metric; a metric without a lower one has -1."""
+
+    def climbed(median: int, quartile: int, rungs: list[int]) -> int:
+        at = quartile + spread * max(quartile - median, unit)
+        for rung in rungs:
+            if rung <= at:
+                at = max(at, rung + spread * (rung - median))
+        return at
+
+    median, quartile, *rungs = quantiles(sketch, (500, 750, *RUNGS))
+    upper = climbed(median, quartile, rungs)
+    if sides == "upper":
+        return upper, -1
+    quartile, *rungs = quantiles(sketch, (250, *[1000 - r for r in RUNGS]))
+    return upper, -climbed(-median, -quartile, [-r for r in rungs])
+
+
+def group_fences(sketches: dict[str, dict[int, int]], spread: int) -> tuple[int, ...]:
+    """The documents of a group, and upper and lower fence of each metric; nothing but nulls for a group of none."""
+    if not sketches:
+        return (0, *[None] * (2 * len(METRICS)))
+    found = [sum(sketches[SIZES[0]].values())]
+    for m, (_, under, scale, sides) in METRICS.items():
+        found += fence(sketches[m], -(-scale // max(1, *quantiles(sketches[under], (250,)))), spread, sides)
+    return tuple(found)
+
+
+FENCES = [f"{m}_{side}" for m in METRICS for side in ("upper", "lower")]
+
+
+def fences(cells: DataFrame, by: list[str], spread: int) -> DataFrame:
+    """(*by, docs, *FENCES) from sketches, merged to the groups `by`.
+
+    A group's sketches come together in one row: a few hundred cells a decade and metric, however many documents it has.
+    """
     merged = cells.groupBy(*by, "metric", "cell").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*by, "metric")
-    upto = F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.withColumn("upto", upto).withColumn("docs", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("docs"), F.col("cell")))
-    quartiles = ranked.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
-    out = []
-    for m, (_, _, _, least, sides) in METRICS.items():
-        upper = F.col("q2") + F.greatest(F.lit(least), F.col("q3") - F.col("q2") + F.lit(spread) * (F.col("q3") - F.col("q2")))
-        lower = F.col("q2") - F.greatest(F.lit(least), F.col("q2") - F.col("q1") + F.lit(spread) * (F.col("q2") - F.col("q1")))
-        one = F.col("metric") == m
-        out += [F.max(F.when(one, upper)).cast("double").alias(f"{m}_upper"), F.max(F.when(one, lower if sides == "both" else F.lit(-1))).cast("double").alias(f"{m}_lower")]
-    return quartiles.groupBy(*by).agg(F.max("docs").alias("docs"), *out)
-
-
-def thresholds(cells: DataFrame, min_docs: int, spread: float) -> DataFrame:
-    """(lang, source, level and fences), one row for each language and source of the sketches."""
+    rows = merged.groupBy(*by).agg(F.collect_list(F.struct("metric", "cell", "n")).alias("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for cells in batch.column(len(by)):
+                held: dict[str, dict[int, int]] = {}
+                for x in cells.as_py():
+                    held.setdefault(x["metric"], {})[x["cell"]] = x["n"]
+                found.append(group_fences(held, spread))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *[pa.array(c, pa.int64()) for c in zip(*found)]], [*by, "docs", *FENCES])
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in by]
+    return map_arrow(rows, run, ", ".join([*kinds, *[f"{c} long" for c in ("docs", *FENCES)]]))
+
+
+def thresholds(cells: DataFrame, min_docs: int, spread: int) -> DataFrame:
+    """(lang, source, level, *FENCES), one row for each language and source of the sketches."""
     cells = saved(cells, "quality-sketches")
-    names = [f"{m}_{side}" for m in METRICS for side in ("upper", "lower")]
-    fine, mid, whole = fences(cells, ["lang", "source"], spread), fences(cells, ["lang"], spread), fences(cells.withColumn("one", F.lit(1)), ["one"], spread)
-    tag = lambda df, t: df.select(*[F.col(c).alias(f"{c}_{t}") for c in df.columns])
-    joined = tag(fine, "a").join(tag(mid, "b"), F.col("lang_a").eqNullSafe(F.col("lang_b"))).join(tag(whole, "c"), F.col("one_c") == 1)
-    pick = lambda n: F.when(F.col("docs_a") >= min_docs, F.col(f"{n}_a")).when(F.col("docs_b") >= min_docs, F.col(f"{n}_b")).otherwise(F.col(f"{n}_c")).alias(n)
-    level = F.when(F.col("docs_a") >= min_docs, "source").when(F.col("docs_b") >= min_docs, "lang").otherwise("all")
-    return joined.select(F.col("lang_a").alias("lang"), F.col("source_a").alias("source"), level.alias("level"), *[pick(n) for n in names])
+    fine, mid = fences(cells, ["lang", "source"], spread), fences(cells, ["lang"], spread)
+    mid = saved(mid.select("lang", *[F.col(c).alias(f"{c}_lang") for c in ("docs", *FENCES)]), "quality-languages")
+    whole = fences(cells, [], spread).first().asDict()  # one row of numbers
+    joined = lookup(fine, mid, ["lang"])
+    pick = lambda own, lang, every: F.when(F.col("docs") >= min_docs, own).when(F.col("docs_lang") >= min_docs, lang).otherwise(every)
+    marks = [pick(F.col(c), F.col(f"{c}_lang"), F.lit(whole[c]).cast("long")).alias(c) for c in FENCES]
+    return joined.select("lang", "source", pick(F.lit("source"), F.lit("lang"), F.lit("all")).alias("level"), *marks)
 
 
-def judge(docs: DataFrame, min_docs: int = 100, spread: float = 5.0, **columns: str) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD, **columns: str) -> DataFrame:
     """(doc_id, lang, source, *COUNTS, base_failed, level, failed, kept): failed lists the metrics outside their fences."""
     rows = saved(measured(docs, **columns).withColumn("base_failed", base_failed()), "quality-counts")
     marks = saved(thresholds(sketches(rows.filter("not base_failed")), min_docs, spread), "quality-thresholds")
@@ -154,23 +212,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     value = lambda m: f"CASE WHEN {METRICS[m][1]} > 0 THEN ({METRICS[m][2]} * {METRICS[m][0]}) // {METRICS[m][1]} ELSE 0 END"
-    sides = {m: (x[3], x[4]) for m, x in METRICS.items()}
-    least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s[0]}" for m, s in sides.items()) + " END"
-    both = ", ".join(f"'{m}'" for m, s in sides.items() if s[1] == "both")
+    under = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{x[1]}'" for m, x in METRICS.items()) + " END"
+    scale = "CASE metric " + " ".join(f"WHEN '{m}' THEN {x[2]}" for m, x in METRICS.items()) + " END"
+    both = ", ".join(f"'{m}'" for m, x in METRICS.items() if x[3] == "both")
+    points = sorted({250, 500, 750, *RUNGS, *[1000 - r for r in RUNGS]})
 
     def fence(name: str, by: str) -> str:
         key = f"{by}, " if by else ""
+        same = " AND ".join([*[f"q.{k} IS NOT DISTINCT FROM z.{k}" for k in by.split(", ") if k], f"z.metric = {under.replace('metric', 'q.metric')}"])
+        up = f"(SELECT *, q750 + {SPREAD} * greatest(q750 - q500, unit) AS u, q250 - {SPREAD} * greatest(q500 - q250, unit) AS l FROM {name}_u)"
+        for r in RUNGS:
+            low = f"q{1000 - r}"
+            up = f"(SELECT * REPLACE (CASE WHEN q{r} <= u THEN greatest(u, q{r} + {SPREAD} * (q{r} - q500)) ELSE u END AS u, CASE WHEN {low} >= l THEN least(l, {low} - {SPREAD} * (q500 - {low})) ELSE l END AS l) FROM {up})"
         return f"""
 {name}_r AS (
   SELECT {key}metric, cell, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY {key}metric ORDER BY cell) AS upto,
          sum(sum(n)) OVER (PARTITION BY {key}metric) AS docs FROM cells GROUP BY {key}metric, cell),
 {name}_q AS (
-  SELECT {key}metric, max(docs) AS docs, min(cell) FILTER (WHERE 4 * upto >= docs) AS q1,
-         min(cell) FILTER (WHERE 4 * upto >= 2 * docs) AS q2, min(cell) FILTER (WHERE 4 * upto >= 3 * docs) AS q3
+  SELECT {key}metric, max(docs) AS docs, {", ".join(f"min(cell) FILTER (WHERE 1000 * upto >= {p} * docs) AS q{p}" for p in points)}
   FROM {name}_r GROUP BY {key}metric),
+{name}_u AS (
+  SELECT q.*, ({scale.replace('metric', 'q.metric')} + greatest(z.q250, 1) - 1) // greatest(z.q250, 1) AS unit
+  FROM {name}_q q JOIN {name}_q z ON {same}),
 {name} AS (
-  SELECT {key}metric, docs, q2 + greatest({least}, 6 * (q3 - q2)) AS upper,
-         CASE WHEN metric IN ({both}) THEN q2 - greatest({least}, 6 * (q2 - q1)) ELSE -1 END AS lower FROM {name}_q)"""
+  SELECT {key}metric, docs, u AS upper, CASE WHEN metric IN ({both}) THEN l ELSE -1 END AS lower FROM {up})"""
 
     return (
         r"""
@@ -201,16 +266,18 @@ d AS (
   FROM s LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 v AS ("""
         + " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, ({value(m)})::BIGINT AS v FROM d" for m in METRICS)
+        + " UNION ALL "
+        + " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{c}' AS metric, {c} AS v FROM d" for c in SIZES)
         + r"""),
 cells AS (
   SELECT lang, source, metric, v - v % (10 ** greatest(length(v::VARCHAR) - 3, 0))::BIGINT AS cell, count(*) AS n
   FROM v WHERE NOT base_failed GROUP BY ALL),"""
         + ",".join([fence("fine", "lang, source"), fence("mid", "lang"), fence("whole", "")])
-        + r""",
+        + f""",
 bad AS (
   SELECT v.doc_id, bool_or(
-    v.v > CASE WHEN fine.docs >= 100 THEN fine.upper WHEN mid.docs >= 100 THEN mid.upper ELSE whole.upper END OR
-    v.v < CASE WHEN fine.docs >= 100 THEN fine.lower WHEN mid.docs >= 100 THEN mid.lower ELSE whole.lower END) AS bad
+    v.v > CASE WHEN fine.docs >= {MIN_DOCS} THEN fine.upper WHEN mid.docs >= {MIN_DOCS} THEN mid.upper ELSE whole.upper END OR
+    v.v < CASE WHEN fine.docs >= {MIN_DOCS} THEN fine.lower WHEN mid.docs >= {MIN_DOCS} THEN mid.lower ELSE whole.lower END) AS bad
   FROM v JOIN fine ON v.metric = fine.metric AND v.lang IS NOT DISTINCT FROM fine.lang AND v.source IS NOT DISTINCT FROM fine.source
   JOIN mid ON v.metric = mid.metric AND v.lang IS NOT DISTINCT FROM mid.lang JOIN whole ON v.metric = whole.metric
   GROUP BY v.doc_id)

@@ -115,9 +115,9 @@ def test_cells_keep_three_digits(spark):
 
 def test_sketches_merge_to_the_same_sketch(spark):
     rows = rules.measured(spark.createDataFrame([(i, "word " * (60 + i), "en", f"s{i % 3}") for i in range(90)], "doc_id long, text string, lang string, source string"))
-    whole = rules.fences(rules.sketches(rows), ["lang"], 3.0).collect()
+    whole = rules.fences(rules.sketches(rows), ["lang"], 3).collect()
     halves = rules.sketches(rows.filter("doc_id < 40")).unionByName(rules.sketches(rows.filter("doc_id >= 40")))
-    assert rules.fences(halves, ["lang"], 3.0).collect() == whole
+    assert rules.fences(halves, ["lang"], 3).collect() == whole
 
 
 def test_outliers_go_and_clean_documents_stay(spark):
@@ -132,7 +132,41 @@ def test_outliers_go_and_clean_documents_stay(spark):
 
 
 def test_small_groups_take_coarser_thresholds(spark):
-    rows = [(i, "word " * 70, "en", "big") for i in range(120)] + [(500, "word " * 70, "en", "small"), (501, "wort " * 70, "de", "small")]
+    rows = [(i, "word " * 70, "en", "big") for i in range(420)] + [(1500, "word " * 70, "en", "small"), (1501, "wort " * 70, "de", "small")]
     docs = spark.createDataFrame([(i, " ".join(f"{w}{k}" for k, w in enumerate(t.split())), a, b) for i, t, a, b in rows], "doc_id long, text string, lang string, source string")
     levels = {r["doc_id"]: r["level"] for r in rules.judge(docs).collect()}
-    assert (levels[0], levels[500], levels[501]) == ("source", "lang", "all")
+    assert (levels[0], levels[1500], levels[1501]) == ("source", "lang", "all")
+
+
+def test_fences_by_definition():
+    rng = random.Random(4)
+    for _ in range(200):
+        values = sorted(rng.choice([0, 0, rng.randrange(30), rng.randrange(300), 900]) for _ in range(rng.randrange(1, 400)))
+        sketch = {v: values.count(v) for v in values}
+        at = lambda p, values=values: next(v for k, v in enumerate(values, 1) if 1000 * k >= p * len(values))
+        assert rules.quantiles(sketch, (250, 500, 750, *rules.RUNGS)) == [at(p) for p in (250, 500, 750, *rules.RUNGS)]
+        upper, lower = at(750) + 3 * max(at(750) - at(500), 5), at(250) - 3 * max(at(500) - at(250), 5)
+        for r in rules.RUNGS:
+            if at(r) > upper:
+                break
+            upper = max(upper, at(r) + 3 * (at(r) - at(500)))
+        for r in rules.RUNGS:
+            if at(1000 - r) < lower:
+                break
+            lower = min(lower, at(1000 - r) - 3 * (at(500) - at(1000 - r)))
+        assert rules.fence(sketch, 5, 3, "both") == (upper, lower) and rules.fence(sketch, 5, 3, "upper") == (upper, -1)
+
+
+def test_spread_of_a_source_decides(spark):
+    """Two sources of one median: what is usual in the wide one fails in the narrow one, by no fixed cutoff."""
+    rng = random.Random(5)
+
+    def text(share):
+        return " ".join(f"{'#' if k < share else ''}w{rng.randrange(10**7)}" for k in range(100))
+
+    rows = [(i, text(20 + rng.randrange(-1, 2)), "en", "narrow") for i in range(500)] + [(1000 + i, text(20 + rng.randrange(-18, 19)), "en", "wide") for i in range(500)]
+    rows += [(5000, text(36), "en", "narrow"), (5001, text(36), "en", "wide"), (5002, text(100), "en", "wide")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r["failed"] for r in rules.judge(docs).collect()}
+    assert found[5000] == ["symbols"] and found[5001] == [] and found[5002] == ["symbols"]
+    assert not any(found[i] for i in [*range(500), *range(1000, 1500)])
