@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 #: A word, for Java's, DuckDB's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows up to which a lookup table may be broadcast.
-BROADCAST_ROWS = 50_000
+#: Rows, and bytes of their columns as stored or estimated, up to which a lookup table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 
 #: A key is hot if it holds more than one row in so many; there are at most this many hot keys.
 HOT_SHARE = 5_000
@@ -27,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for intermediate tables; one of our own only where none is set, as in tests."""
+    """The folder that the cluster shares for intermediate tables; one of our own only where none is set and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else ""
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} shares: intermediate tables are written there")
         found = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -60,7 +64,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries, which it does when the driver collects its garbage."""
+    """Lets Spark delete the shuffle files of finished queries, which it does when the driver collects its garbage, else half-hourly."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -72,6 +76,32 @@ def discard(spark: SparkSession, path: str) -> None:
     _places.discard(path)
 
 
+def places_of(df: DataFrame) -> set[str]:
+    """The places in the scratch folder that df reads."""
+    names = set(re.findall(r"/tallyframe/([^/]+)/", "\n".join(df.inputFiles())))
+    return {p for p in _places if p.rsplit("/", 1)[1] in names}
+
+
+def discard_read(df: DataFrame) -> None:
+    """Deletes the saved tables that df reads, once nothing else will."""
+    for path in places_of(df):
+        discard(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what has been saved in it, but for what is read by the DataFrames that the given function has got."""
+    before, kept = set(_places), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(places_of(df))
+        return df
+
+    yield keep
+    for path in _places - before - kept:
+        discard(spark, path)
+
+
 def discard_all(spark: SparkSession) -> None:
     """Deletes all that this process has saved, once the results that read it have been written."""
     for path in list(_places):
@@ -91,14 +121,22 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than it needs to know that."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df is small enough for a broadcast: by what the plan says of its bytes, and then by a count of at most rows + 1 rows.
+
+    Of a table from saved() the plan knows the bytes of its files; of what follows from it by joins it may say too much.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= size and df.limit(rows + 1).count() <= rows
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def nested(df: DataFrame) -> Column:
     """All columns of df as one struct, so that no name in them can clash with a work column's."""
-    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+    return F.struct(*[quoted(c).alias(c) for c in df.columns])
 
 
 def of_row(name: str) -> Column:
@@ -106,15 +144,15 @@ def of_row(name: str) -> Column:
     return F.col("row").getField(name)
 
 
-def unnested(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+def unnested(df: DataFrame, columns: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
     """The columns of the struct column `row`, some of them changed."""
-    return df.select(*[changed.get(c, of_row(c)).alias(c) for c in columns])
+    return df.select(*[(changed or {}).get(c, of_row(c)).alias(c) for c in columns])
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 64) -> DataFrame:
     """Joins big to small, which has one row a key, nulls matching nulls.
 
-    small is broadcast if a count shows that it has at most BROADCAST_ROWS rows. Otherwise each of its rows is
+    small is broadcast if it fits(). Otherwise each of its rows is
     repeated for `salts` salts and big is dealt by key and salt, so that a hot key meets many tasks.
     """
     right = small.select([F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in small.columns])

@@ -6,12 +6,13 @@ within `band` of it get an exact distinct count. A boilerplate line stays at its
 position) and goes everywhere else, so its text is not lost to the corpus.
 
 Only DataFrame functions are used. A line's key is a 64-bit and a 32-bit hash of its exact text. Lines of fewer than
-`min_words` words are never boilerplate: they recur by chance.
+`min_words` words are never boilerplate, as they recur by chance, unless they have `min_chars` characters, as a sentence
+has in a script without spaces. Finding that out, and taking lines out of a text, takes time in proportion to the text.
 
 Defined cases: a null text stays null and has 0 lines; an empty text has one empty line. A text whose lines all go
 becomes the empty string and its row stays. A null source is a site of its own. A null id sorts first. Rows that
 repeat an id and text keep and lose the same lines. An empty table gives an empty result. Other columns of the
-documents are kept as they are, whatever their names, but for n_lines and n_removed, which are replaced.
+documents are kept as they are, whatever their names; n_lines and n_removed are replaced where these counts are asked for.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import hot_split_join, nested, of_row, saved, table, unnested
+from tallyframe.llm.common import hot_split_join, nested, of_row, quoted, saved, scratch, table, unnested
 
 #: log2 of the registers of a sketch: a relative standard error of 1.04 / sqrt(1024), 3.3 %.
 LG_K = 10
@@ -27,15 +28,29 @@ LG_K = 10
 KEYS = ["k1", "k2"]
 
 
-def _long_enough(line: Column, min_words: int) -> Column:
-    return line.rlike(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){" + str(min_words - 1) + r"}[^\x20\x09-\x0D]")
+def _long_enough(line: Column, min_words: int, min_chars: int) -> Column:
+    words = line.rlike(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){" + str(min_words - 1) + r"}[^\x20\x09-\x0D]")
+    return words | ((F.length(line) >= min_chars) & line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """(doc, th, site, pos, k1, k2): the lines of at least min_words words. th: a hash of the whole text."""
-    site = F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n"))
-    split = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), site.alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return split.filter(_long_enough(F.col("line"), min_words)).select("doc", "th", "site", "pos", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
+def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int, min_chars: int) -> DataFrame:
+    """(doc, th, site, pos, k1, k2): the lines that are long enough. th: a hash of the whole text."""
+    site = F.coalesce(F.concat(F.lit("s"), quoted(site_col).cast("string")), F.lit("n"))
+    split = docs.select(quoted(id_col).alias("doc"), F.xxhash64(quoted(text_col)).alias("th"), site.alias("site"), F.posexplode(F.split(quoted(text_col), "\n")).alias("pos", "line"))
+    return split.filter(_long_enough(F.col("line"), min_words, min_chars)).select("doc", "th", "site", "pos", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
+
+
+def without(text: Column, gone: Column) -> Column:
+    """A text without the lines at the positions `gone`, which are in order: the stretches between them, joined."""
+
+    def stretch(held: Column, i: Column) -> Column:
+        first = F.coalesce(F.get(held["gone"], i - 1), F.lit(-1)) + 1
+        return F.slice(held["lines"], first + 1, F.coalesce(F.get(held["gone"], i), F.size(held["lines"])) - first)
+
+    # a struct in an array of one: the lines are cut once, not for each stretch
+    held = F.array(F.struct(F.split(text, "\n").alias("lines"), gone.alias("gone")))
+    kept = F.transform(held, lambda h: F.flatten(F.transform(F.sequence(F.lit(0), F.size(h["gone"])), lambda i: stretch(h, i))))
+    return F.array_join(F.get(kept, 0), "\n")
 
 
 def boilerplate(lines: DataFrame, total: int, min_sites: int, band: float) -> DataFrame:
@@ -51,24 +66,24 @@ def boilerplate(lines: DataFrame, total: int, min_sites: int, band: float) -> Da
     return saved(sure.unionByName(near.join(exact, KEYS)), "line-boilerplate")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_words: int = 3, band: float = 0.2) -> DataFrame:
-    """docs with boilerplate lines removed from their text, and the columns n_lines and n_removed.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_words: int = 3, min_chars: int = 16, band: float = 0.2, counts: bool = True) -> DataFrame:
+    """docs with boilerplate lines removed from their text, and with counts the columns n_lines and n_removed.
 
     band: share of min_sites by which an estimate may be off before an exact count decides, six standard errors.
     """
-    lines = saved(lines_of(docs, id_col, text_col, site_col, min_words), "lines")
-    total = lines.count()
-    drops = hot_split_join(lines.drop("site"), boilerplate(lines, total, min_sites, band), KEYS, "n", total)
-    drops = drops.filter(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
-    drops = drops.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
-    text = of_row(text_col)
-    joined = docs.select(nested(docs).alias("row")).join(drops, of_row(id_col).eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("th")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    changed = {text_col: F.when(F.col("gone").isNull(), text).otherwise(kept), "n_lines": n_lines, "n_removed": n_removed}
-    return unnested(joined, [*own, "n_lines", "n_removed"], **changed)
+    with scratch(docs.sparkSession) as keep:
+        lines = saved(lines_of(docs, id_col, text_col, site_col, min_words, min_chars), "lines")
+        total = lines.count()
+        drops = hot_split_join(lines.drop("site"), boilerplate(lines, total, min_sites, band), KEYS, "n", total)
+        drops = drops.filter(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
+        drops = saved(drops.groupBy("doc", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "line-drops")
+        text = of_row(text_col)
+        joined = docs.select(nested(docs).alias("row")).join(drops, of_row(id_col).eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("th")), "left")
+        n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+        n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+        changed = {text_col: F.when(F.col("gone").isNull(), text).otherwise(without(text, F.col("gone")))}
+        added = {"n_lines": n_lines, "n_removed": n_removed} if counts else {}
+        return keep(unnested(joined, [*[c for c in docs.columns if c not in added], *added], changed | added))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +97,7 @@ x AS (
   SELECT doc_id, coalesce('s' || source, 'n') AS site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM l),
 b AS (
   SELECT line FROM x WHERE regexp_matches(line, '(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]')
+     OR length(line) >= 16 AND regexp_matches(line, '[^\x20\x09-\x0D]')
   GROUP BY line HAVING count(DISTINCT site) >= 5),
 m AS (
   SELECT x.*, b.line IS NOT NULL AS common, row_number() OVER (PARTITION BY x.line ORDER BY doc_id, pos) AS place

@@ -1,9 +1,11 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import line_dedup, mixing
 from tallyframe.llm.queries import ORACLES, QUERIES
@@ -130,6 +132,33 @@ def test_lines_keep_columns_and_repeated_rows(spark, lined):
     assert all(re.fullmatch(r"\n*", r["text"]) for r in first)
 
 
+def test_lines_of_scripts_without_spaces(spark):
+    sentence, menu = "\u8fd9\u662f\u4e00\u53e5\u6ca1\u6709\u7a7a\u683c\u7684\u5f88\u957f\u7684\u53e5\u5b50\u3002\u5728\u6bcf\u4e2a\u7f51\u7ad9", "\u9996\u9875"
+    docs = table(spark, [(i, f"{sentence}\n{menu}\nown {i}", f"s{i}") for i in range(6)])
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert found[0] == f"{sentence}\n{menu}\nown 0" and found[5] == f"{menu}\nown 5"
+
+
+def test_time_grows_with_the_text(spark):
+    """A line of a million characters without a space, and documents that lose tens of thousands of lines each."""
+    many = [f"line {k} of all sites" for k in range(60_000)]
+    rows = [(i, "\n".join([f"own {i}", *many[:i], f"mine {i}", *many[i:], f"end {i}"]), f"s{i}") for i in range(6)]
+    docs = table(spark, [*rows, (100, "x" * 1_000_000, "s0"), (101, "y" * 2_000_000, "s1")])
+    began = time.monotonic()
+    found = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert found[0]["text"] == rows[0][1] and found[100]["text"] == "x" * 1_000_000
+    for i in range(1, 6):
+        assert found[i]["text"] == f"own {i}\nmine {i}\nend {i}" and found[i]["n_removed"] == 60_000
+
+
+def test_lines_leave_columns_alone(spark, lined):
+    odd = lined.select("*", F.lit(7).alias("n_lines"), F.lit("x").alias("a.b"), F.lit(1).alias("row"), F.lit(2).alias("th"), F.lit(3).alias("gone"))
+    out = line_dedup.dedup_lines(odd, counts=False)
+    assert out.columns == odd.columns
+    assert {tuple(r)[-5:] for r in out.collect()} == {(7, "x", 1, 2, 3)}
+
+
 def test_lines_run_without_python(spark, lined):
     plan = line_dedup.dedup_lines(lined)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
