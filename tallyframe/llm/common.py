@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, for Java's, DuckDB's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,7 +113,7 @@ def discard_all(spark: SparkSession) -> None:
 BATCH_BYTES = 4 << 20
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow() in batches of at most BATCH_BYTES, or one row; the session keeps that bound, or a lower one that it has."""
     key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
     found = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
@@ -180,6 +181,12 @@ def hot_split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: st
     return near.unionByName(rest.join(cold, keys))
 
 
+def hot_fetch(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of values, which has one row a key, for the keys that both have; any key may be hot in rows, a saved table."""
+    asked = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__asked"))
+    return hot_split_join(rows, values.join(asked, key), [key], "__asked", rows.count()).drop("__asked")
+
+
 def remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.crc32(doc_id.cast("string")) % mod
