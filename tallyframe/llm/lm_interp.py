@@ -1,23 +1,26 @@
-"""Language-model scores by deleted interpolation of bigrams.
+"""Language-model scores by deleted interpolation of trigrams.
 
-A token's probability after its predecessor mixes the maximum-likelihood bigram, the maximum-likelihood unigram and equal
-shares for all words, with weights that depend on how often the predecessor occurs (its bucket: the power of two).
-The weights are learned by expectation-maximisation on a part of the training documents whose counts are left out of
-the estimates meanwhile (one in FOLDS); the scores use the counts of all training documents.
+A token's probability after its two predecessors mixes the maximum-likelihood trigram, bigram and unigram and equal shares
+for all words, with weights by how often the context occurs: by the power of two of the pair's count, or, of a pair that
+doesn't occur, of the last word's. The weights are learned by expectation-maximisation on a part of the training documents
+whose counts are left out of the estimates meanwhile (one in FOLDS); the scores use the counts of all training documents.
 
-All counts are over all training documents, and the whole work is in blocks of documents, so that it stands words of
-any frequency and needs no row a token:
+All counts are over all training documents, in 64 bits, and the whole work is in blocks of documents, so that it stands
+words of any frequency and needs no row a token:
 
 1. `blocks`: each task turns its documents into blocks of about `block_tokens` tokens. A block keeps its tokens as
    numbers into the block's own word list, and the 64-bit hashes of these words. Blocks are a table in the scratch folder.
-2. `asks`: a block asks for counts with the hashes of its distinct words and pairs, sorted, cut into slices of the hash
-   range and packed, with its own counts. `answers`: each slice adds up the counts of all blocks, and answers each block
-   in the order that it asked in.
+2. `asks`: a block asks for counts with the hashes of its distinct words, pairs and triples, sorted, cut into slices of the
+   hash range and packed, with its own counts. `answers`: each slice adds up the counts of all blocks, and answers each
+   block in the order that it asked in. There is a slice for SLICE_TOKENS tokens, so that what a task holds doesn't grow.
+   Triples are asked for when words and pairs have been answered.
 3. `weights` and `scores`: a block meets its answers, and has all it needs.
 
-What is dealt by slice or block is even whatever the text: a block asks once for a word, however often it has it.
+What is dealt by slice or block is even whatever the text: a block asks once for a word, however often it has it, and never
+in more rows than it has distinct words, pairs and triples. Where blocks and slices are so many that rows get short, larger
+blocks (`block_tokens`, as memory allows) make them long again.
 
-Defined cases: a null or empty text has one token, the end. The end is also what precedes a text's first token. Rows
+Defined cases: a null or empty text has one token, the end. The end is also what precedes a text's first token, twice. Rows
 that repeat count and are scored as often as they occur; a null id trains. With no training documents all counts are
 0 and all words have equal shares. An empty table gives an empty result. Columns beyond id and text are not read. A
 task holds a block, or its longest document, in memory.
@@ -35,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import free_shuffles, held_out, map_arrow, saved, table
+from tallyframe.llm.common import free_shuffles, held_out, map_arrow, quoted, saved, scratch, table
 
 #: Training documents whose tokens the weights are learned on: one in so many, by remainder.
 FOLDS = 11
@@ -47,10 +50,16 @@ COUNTED, FOLD, SCORED = 0, 1, 2
 END = b""
 
 #: Cells an octave in which probabilities are gathered to learn the weights, and the least weight of equal shares.
-FINE, LEAST = 8, 1e-4
+FINE, LEAST = 4, 1e-4
 
-#: Bytes of the input for which there is a slice of the hash range, and the most slices.
-SLICE_BYTES, MOST_SLICES = 8 << 20, 1 << 16
+#: Buckets of the counts of a pair, and of those of a word after them.
+BUCKETS = 65
+
+#: Tokens of the input for which there is a slice of the hash range, for each kind of count.
+SLICE_TOKENS = 4 << 20
+
+#: What is counted, and the bits of its hashes. Sorted and packed, a hash takes these bits less the logarithm of how many there are.
+KINDS = {"word": 64, "pair": 56, "triple": 56}
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -72,16 +81,12 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
 
 
-#: Bits of the hashes of words and of pairs. Sorted and packed, a hash takes these bits less the logarithm of how many there are.
-WORD_BITS, PAIR_BITS = 64, 56
-
-
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A hash of PAIR_BITS of two 64-bit hashes, by multiplications and shifts."""
+def joint_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two 64-bit hashes, by multiplications and shifts."""
     x = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(0xD1B54A32D192ED03) + (first >> np.uint64(7)))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - PAIR_BITS)
+    return x ^ (x >> np.uint64(32))
 
 
 def slice_of(hashes: np.ndarray, slices: int, bits: int) -> np.ndarray:
@@ -89,11 +94,11 @@ def slice_of(hashes: np.ndarray, slices: int, bits: int) -> np.ndarray:
     return ((hashes >> np.uint64(bits - 32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
-    """The predecessor of each token; of a text's first the end."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = end
+def _shifted(values: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    """The value before each; of a text's first, `first`."""
+    before = np.empty_like(values)
+    before[1:] = values[:-1]
+    before[np.cumsum(sizes) - sizes] = first
     return before
 
 
@@ -115,10 +120,10 @@ class _Block:
         self.size += len(words)
 
     def row(self, block: int, part: int) -> tuple:
-        """(block, part, ids, tokens, rest): rest is the hashes of the words, the documents' sizes, and which of them are counted."""
+        """(block, part, size, ids, tokens, rest): rest is the hashes of the words, the documents' sizes, and which of them are counted."""
         sizes = np.fromiter(map(len, self.tokens), "<i8", len(self.tokens))
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), "<u8", len(self.words))
-        return block, part, self.ids, pack(np.concatenate(self.tokens).astype("<u4")), words.tobytes() + sizes.tobytes() + bytes(self.counted)
+        return block, part, self.size, self.ids, pack(np.concatenate(self.tokens).astype("<u4")), words.tobytes() + sizes.tobytes() + bytes(self.counted)
 
 
 class _Tokens:
@@ -129,33 +134,33 @@ class _Tokens:
         self.tokens, self.words = unpack(tokens, "<u4"), np.frombuffer(rest, "<u8", end // 8)
         self.sizes = np.frombuffer(rest, "<i8", documents, end)
         self.counted = np.frombuffer(rest, np.bool_, documents, end + 8 * documents)
-        self.before = _pairs(self.tokens, self.sizes, 0)
+        self.before = _shifted(self.tokens, self.sizes, 0)
 
-    def pairs(self) -> np.ndarray:
-        return pair_hash(self.words[self.before], self.words[self.tokens])
+    def hashes(self, kind: str) -> np.ndarray:
+        """The hash of the pair or triple that each token ends."""
+        before = self.words[self.before]
+        if kind == "triple":
+            before = joint_hash(self.words[_shifted(self.before, self.sizes, 0)], before)
+        return joint_hash(before, self.words[self.tokens]) >> np.uint64(64 - KINDS[kind])
 
-    def asks(self, block: int, part: int, slices: int) -> Iterator[tuple]:
+    def asks(self, block: int, part: int, kind: str, slices: int) -> Iterator[tuple]:
         """The rows (block, part, kind, slice, hashes, counts) by which the block asks for the counts of all."""
-        counted, order = np.repeat(self.counted, self.sizes), np.argsort(self.words)
-        yield from _asked(block, part, "word", slices, self.words[order], np.bincount(self.tokens[counted], minlength=len(self.words))[order])
-        hashes = self.pairs()
-        if counted.all():
-            asked, counts = np.unique(hashes, return_counts=True)
+        counted = np.repeat(self.counted, self.sizes)
+        if kind == "word":
+            order = np.argsort(self.words)
+            asked, counts = self.words[order], np.bincount(self.tokens[counted], minlength=len(self.words))[order]
+        elif counted.all():
+            asked, counts = np.unique(self.hashes(kind), return_counts=True)
         else:
+            hashes = self.hashes(kind)
             order = np.argsort(hashes)
             hashes, counted = hashes[order], counted[order]
             starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             asked, counts = hashes[starts], np.add.reduceat(counted.astype(np.int64), starts)
-        yield from _asked(block, part, "pair", slices, asked, counts)
-
-
-def _asked(block: int, part: int, kind: str, slices: int, asked: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-    """The rows that ask for distinct hashes, sorted, of which the block has so many itself."""
-    edges = np.searchsorted(slice_of(asked, slices, WORD_BITS if kind == "word" else PAIR_BITS), np.arange(slices + 1))
-    for k in range(slices):
-        a, b = edges[k], edges[k + 1]
-        if a < b:
-            yield block, part, kind, k, pack_sorted(asked[a:b]), pack(counts[a:b].astype("<u4"))
+        edges = np.searchsorted(slice_of(asked, slices, KINDS[kind]), np.arange(slices + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[k], edges[k + 1]
+            yield block, part, kind, k, pack_sorted(asked[a:b]), pack(counts[a:b].astype("<i8"))
 
 
 def part_of(doc_id: Column) -> Column:
@@ -170,12 +175,12 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
-    """Rows (block, part, ids, tokens, rest) of docs (doc_id, part, text); a block is of the fold or has none of it."""
+    """Rows (block, part, size, ids, tokens, rest) of docs (doc_id, part, text); a block is of the fold or has none of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, open_blocks, schema = TaskContext.get().partitionId(), 0, {}, None
         for batch in batches:
-            schema = schema or pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(batch.schema.field(0).type)), ("tokens", pa.binary()), ("rest", pa.binary())])
+            schema = schema or pa.schema([("block", pa.int64()), ("part", pa.int32()), ("size", pa.int64()), ("ids", pa.list_(batch.schema.field(0).type)), ("tokens", pa.binary()), ("rest", pa.binary())])
             for ident, part, text in zip(*batch.columns):
                 counted = part.as_py() != SCORED
                 part = FOLD if part.as_py() == FOLD else COUNTED
@@ -188,23 +193,25 @@ def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             yield from _batches([open_blocks.pop(part).row(task << 24 | n, part)], schema)
             n += 1
 
-    return map_arrow(docs, run, f"block long, part int, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, tokens binary, rest binary")
+    return map_arrow(docs, run, f"block long, part int, size long, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, tokens binary, rest binary")
 
 
-def asks(made: DataFrame, slices: int) -> DataFrame:
+def asks(made: DataFrame, kinds: tuple[str, ...], slices: int) -> DataFrame:
     """(block, part, kind, slice, hashes, counts): what the blocks ask for."""
     schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.string()), ("slice", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, part, n, tokens, rest in zip(*(c.to_pylist() for c in batch.columns[:3]), *batch.columns[3:]):
-                yield from _batches(_Tokens(n, tokens.as_py(), rest.as_py()).asks(block, part, slices), schema)
+                held = _Tokens(n, tokens.as_py(), rest.as_py())
+                for kind in kinds:
+                    yield from _batches(held.asks(block, part, kind, slices), schema)
 
     return map_arrow(made.select("block", "part", F.size("ids").alias("n"), "tokens", "rest"), run, "block long, part int, kind string, slice int, hashes binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """(block, kind, slice, payload, rest): the counts of what each block asks, without and of the fold.
+    """(block, kind, slice, payload, rest): the counts of what each block asks; rest, for blocks of the fold, those without the fold.
 
     Block -1 has, for each kind and slice, the numbers of distinct hashes and of all, without the fold and with it.
     """
@@ -212,41 +219,42 @@ def answers(asked: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         kind, k = group["kind"][0].as_py(), group["slice"][0].as_py()
         hashes = [unpack_sorted(x.as_py()) for x in group["hashes"]]
-        known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums, start = np.zeros((2, len(known)), np.int64), 0
         starts = np.cumsum([0] + [len(h) for h in hashes])
+        known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        del hashes
+        sums = np.zeros((2, len(known)), np.int64)
         for start, end, part, own in zip(starts, starts[1:], group["part"].to_pylist(), group["counts"]):
-            sums[part][at[start:end]] += unpack(own.as_py(), "<u4")  # a block's hashes are distinct
+            sums[part][at[start:end]] += unpack(own.as_py(), "<i8")  # a block's hashes are distinct
         whole = sums.sum(0)
         stat = np.array([np.count_nonzero(sums[0]), sums[0].sum(), np.count_nonzero(whole), whole.sum()], "<i8").tobytes()
         rows = [(-1, kind, k, stat, None)]
-        for block, start, end in zip(group["block"].to_pylist(), starts, starts[1:]):
+        for block, part, start, end in zip(group["block"].to_pylist(), group["part"].to_pylist(), starts, starts[1:]):
             places = at[start:end]
-            rows.append((block, kind, k, pack(sums[0][places].astype("<u4")), pack(sums[1][places].astype("<u4"))))
+            rows.append((block, kind, k, pack(whole[places]), pack(sums[0][places]) if part == FOLD else None))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "kind", "slice", "payload", "rest"])
 
     return asked.groupBy("kind", "slice").applyInArrow(run, "block long, kind string, slice int, payload binary, rest binary")
 
 
 class _Counts(_Tokens):
-    """A block with the counts of its words and pairs, from its row and its answers."""
+    """A block with the counts of its words, pairs and triples, from its row and the column `of` of its answers.
 
-    def __init__(self, group: pa.Table):
-        parts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {"word": {}, "pair": {}}
-        for kind, k, ids, payload, rest in zip(*(group[c] for c in ("kind", "slice", "ids", "payload", "rest"))):
-            kind = kind.as_py()
+    pair, triple: of what each token ends; context: of the two tokens before it.
+    """
+
+    def __init__(self, group: pa.Table, of: str):
+        parts: dict[str, dict[int, np.ndarray]] = {kind: {} for kind in KINDS}
+        for i, (kind, k) in enumerate(zip(group["kind"].to_pylist(), group["slice"].to_pylist())):
             if kind == "block":
-                self.ids = ids
-                super().__init__(len(ids), payload.as_py(), rest.as_py())
+                self.ids = group["ids"][i]
+                super().__init__(len(self.ids), group["payload"][i].as_py(), group["rest"][i].as_py())
             else:
-                parts[kind][k.as_py()] = unpack(payload.as_py(), "<u4"), unpack(rest.as_py(), "<u4")
-        put = lambda kind, j: np.concatenate([parts[kind][k][j] for k in sorted(parts[kind])])
-        order = np.argsort(self.words)
-        self.word = np.empty((2, len(self.words)), np.uint32)
-        for j in (0, 1):
-            self.word[j, order] = put("word", j)
-        self.at = np.unique(self.pairs(), return_inverse=True)[1].astype(np.uint32)
-        self.pair = [put("pair", j) for j in (0, 1)]
+                parts[kind][k] = unpack(group[of][i].as_py(), "<i8")
+        put = lambda kind: np.concatenate([parts[kind].pop(k) for k in sorted(parts[kind])])
+        self.word = np.empty(len(self.words), np.int64)
+        self.word[np.argsort(self.words)] = put("word")
+        self.pair, self.triple = (put(kind)[np.unique(self.hashes(kind), return_inverse=True)[1]] for kind in ("pair", "triple"))
+        self.context = _shifted(self.pair, self.sizes, self.word[0])  # a text's first token follows the end of another
 
     def parts(self, most: int = 1 << 18) -> Iterator[tuple[slice, slice]]:
         """Documents and their tokens, about `most` tokens at a time."""
@@ -257,40 +265,46 @@ class _Counts(_Tokens):
             yield slice(first, last), slice(start, ends[last - 1])
             first = last
 
+    def shares(self, tokens: slice, total: int) -> tuple[np.ndarray, ...]:
+        """The bucket of each token's context, and the maximum-likelihood trigram, bigram and unigram."""
+        context, before, word = self.context[tokens], self.word[self.before[tokens]], self.word[self.tokens[tokens]]
+        return bucket(context, before), self.triple[tokens] / np.maximum(context, 1), self.pair[tokens] / np.maximum(before, 1), word / max(total, 1)
+
 
-def bucket(count: np.ndarray) -> np.ndarray:
-    """0 for 0, else one more than the whole part of the base-2 logarithm."""
-    return np.frexp(count)[1]
+def bucket(context: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """By the count of two words: one more than the whole part of its base-2 logarithm; if that is 0, by the last word's, beyond BUCKETS."""
+    return np.where(context > 0, np.frexp(context.astype(np.float64))[1], BUCKETS + np.frexp(before.astype(np.float64))[1])
 
 
 def weights(met: DataFrame, distinct: int, total: int, rounds: int = 100) -> np.ndarray:
-    """The weights of bigram, unigram and equal shares for each bucket, from the blocks of the fold and their answers."""
+    """The weights of trigram, bigram, unigram and equal shares for each bucket, from the blocks of the fold and their answers."""
 
     def run(group: pa.Table) -> pa.Table:
-        c, found = _Counts(group), []
+        c, found = _Counts(group, "rest"), []
         fine = lambda p: np.where(p > 0, np.rint(np.log2(np.where(p > 0, p, 1)) * FINE), 1).astype(np.int64)
         for _, tokens in c.parts():
-            first, second, pair = (x.astype(np.float64) for x in (c.word[0][c.before[tokens]], c.word[0][c.tokens[tokens]], c.pair[0][c.at[tokens]]))
-            cells = np.stack([bucket(first), fine(pair / np.maximum(first, 1)), fine(second / max(total, 1))])
-            found.append([*(cells := np.unique(cells, axis=1, return_counts=True))[0], cells[1]])
-        return pa.table([np.concatenate(x).astype(np.int64) for x in zip(*found)], names=["bucket", "pair", "word", "n"])
-
-    rows = met.groupBy("block").applyInArrow(run, "bucket long, pair long, word long, n long").groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()
-    out = np.tile(np.array([0.5, 0.4, 0.1]), (65, 1))
-    out[0] = [0.0, 0.8, 0.2]
-    back = lambda x: 2.0 ** (x / FINE) if x <= 0 else 0.0
-    for b in {r["bucket"] for r in rows}:
-        held = sorted((r["pair"], r["word"], r["n"]) for r in rows if r["bucket"] == b)
-        p = np.array([[back(x), back(y), 1 / (distinct + 1)] for x, y, _ in held])
-        n = np.array([k for _, _, k in held], np.float64)
-        mix = np.full(3, 1 / 3)
+            at, *shares = c.shares(tokens, total)
+            cells, n = np.unique(np.stack([at, *map(fine, shares)]), axis=1, return_counts=True)
+            found.append([*cells, n])
+        return pa.table([np.concatenate(x).astype(np.int64) for x in zip(*found)], names=["bucket", "triple", "pair", "word", "n"])
+
+    cells = met.groupBy("block").applyInArrow(run, "bucket long, triple long, pair long, word long, n long").groupBy("bucket", "triple", "pair", "word").agg(F.sum("n").alias("n")).toArrow()
+    at, *logs, n = (c.to_numpy() for c in cells.columns)
+    out = np.tile(np.array([0.4, 0.3, 0.2, 0.1]), (2 * BUCKETS, 1))
+    out[BUCKETS:] = [0.0, 0.5, 0.4, 0.1]
+    out[BUCKETS] = [0.0, 0.0, 0.8, 0.2]
+    p = np.stack([*(np.where(x <= 0, np.exp2(x / FINE), 0.0) for x in logs), np.full(len(n), 1 / (distinct + 1))], axis=1)
+    for b in np.unique(at):
+        one = np.lexsort([x[at == b] for x in logs])  # the same order in each run
+        share, held = p[at == b][one], n[at == b][one].astype(np.float64)
+        mix = np.full(4, 1 / 4)
         for _ in range(rounds):
-            share = p * mix
-            share /= share.sum(1, keepdims=True)
-            mix, last = (n[:, None] * share).sum(0) / n.sum(), mix
+            part = share * mix
+            part /= part.sum(1, keepdims=True)
+            mix, last = (held[:, None] * part).sum(0) / held.sum(), mix
             if np.abs(mix - last).max() < 1e-9:
                 break
-        mix[2] = max(mix[2], LEAST)
+        mix[3] = max(mix[3], LEAST)
         out[b] = mix / mix.sum()
     return out
 
@@ -299,15 +313,13 @@ def scores(met: DataFrame, kind: str, mix: np.ndarray, distinct: int, total: int
     """(doc_id, n_tokens, n_known, base_score, score) from all blocks and their answers."""
 
     def run(group: pa.Table) -> pa.Table:
-        c, found = _Counts(group), []
-        word, pairs = c.word.sum(0, dtype=np.float64), c.pair[0].astype(np.float64) + c.pair[1]
+        c, found = _Counts(group, "payload"), []
         for docs, tokens in c.parts():
-            first, second, pair = word[c.before[tokens]], word[c.tokens[tokens]], pairs[c.at[tokens]]
-            base = np.log10((second + 1) / (total + distinct + 1))
-            w = mix[bucket(first)]
-            p = w[:, 0] * pair / np.maximum(first, 1) + w[:, 1] * second / max(total, 1) + w[:, 2] / (distinct + 1)
+            word = c.word[c.tokens[tokens]]
+            at, *shares = c.shares(tokens, total)
+            p = sum(w * s for w, s in zip(mix[at].T, [*shares, 1 / (distinct + 1)]))
             starts = np.cumsum(c.sizes[docs]) - c.sizes[docs]
-            found.append([np.add.reduceat(x, starts) for x in ((second > 0).astype(np.int64), base, np.log10(p))])
+            found.append([np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64), np.log10((word + 1.0) / (total + distinct + 1)), np.log10(p))])
         return pa.table([c.ids.values, c.sizes, *[np.concatenate(x) for x in zip(*found)]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return met.groupBy("block").applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
@@ -318,23 +330,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part:
 
     part: the part of each document, by default part_of() its id.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), (part_of(F.col(id_col)) if part is None else part).cast("int").alias("part"), F.col(text_col).alias("text"))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    slices = min(MOST_SLICES, max(8, size // SLICE_BYTES))
-    made = saved(blocks(rows, block_tokens), "lm-blocks")
-    found = saved(answers(asks(made, slices)), "lm-answers")
-    free_shuffles(docs.sparkSession)  # what was asked is answered, and is the most that this moves
-    stats = [np.frombuffer(r["payload"], "<i8") for r in found.filter("block = -1 and kind = 'word'").select("payload").toLocalIterator()]
-    rest_distinct, rest_total, distinct, total = (int(x) for x in (np.sum(stats, axis=0) if stats else np.zeros(4)))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    given = found.filter("block >= 0").select("block", "kind", "slice", F.lit(None).cast(f"array<{kind}>").alias("ids"), "payload", "rest")
-    met = made.select("block", F.lit("block").alias("kind"), F.lit(0).alias("slice"), "ids", F.col("tokens").alias("payload"), "rest", "part")
-    fold, met = met.filter(F.col("part") == FOLD).drop("part"), met.drop("part")
-    mix = weights(fold.unionByName(given.join(fold.select("block"), "block", "left_semi")), rest_distinct, rest_total)
-    if not total:
-        mix = np.tile(np.array([0.0, 0.0, 1.0]), (len(mix), 1))
-    out = scores(met.unionByName(given), kind, mix, distinct, total)
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    spark = docs.sparkSession
+    rows = docs.select(quoted(id_col).alias("doc_id"), (part_of(quoted(id_col)) if part is None else part).cast("int").alias("part"), quoted(text_col).alias("text"))
+    with scratch(spark) as keep:
+        made = saved(blocks(rows, block_tokens), "lm-blocks")
+        slices = max(8, (made.agg(F.sum("size")).first()[0] or 0) // SLICE_TOKENS)
+        found = []
+        for kinds in (("word", "pair"), ("triple",)):
+            found.append(saved(answers(asks(made, kinds, slices)), "lm-answers"))
+            free_shuffles(spark)  # what was asked is answered, and is the most that this moves
+        stats = [np.frombuffer(r["payload"], "<i8") for r in found[0].filter("block = -1 and kind = 'word'").select("payload").toLocalIterator()]
+        rest_distinct, rest_total, distinct, total = (int(x) for x in (np.sum(stats, axis=0) if stats else np.zeros(4)))
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        given = found[0].unionByName(found[1]).filter("block >= 0").select("block", "kind", "slice", F.lit(None).cast(f"array<{kind}>").alias("ids"), "payload", "rest")
+        met = made.select("block", F.lit("block").alias("kind"), F.lit(0).alias("slice"), "ids", F.col("tokens").alias("payload"), "rest", "part")
+        fold, met = met.filter(F.col("part") == FOLD).drop("part"), met.drop("part")
+        mix = weights(fold.unionByName(given.filter("rest is not null").drop("payload").withColumn("payload", F.lit(None).cast("binary"))), rest_distinct, rest_total)
+        if not total:
+            mix = np.tile(np.array([0.0, 0.0, 0.0, 1.0]), (len(mix), 1))
+        out = scores(met.unionByName(given.drop("rest").withColumn("rest", F.lit(None).cast("binary"))), kind, mix, distinct, total)
+        return keep(out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

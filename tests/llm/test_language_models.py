@@ -23,43 +23,56 @@ def remainder(i, mod):
     return zlib.crc32(str(i).encode()) % mod
 
 
-def by_definition(rows):
-    """Scores by dictionaries: weights by expectation-maximisation on the fold, probabilities in the cells it uses."""
+def learned(rows, part):
+    """(weights by bucket, counts of words, pairs and triples, all tokens, distinct words), by dictionaries, in the cells that the operator uses."""
     tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
-    train = [(i, t) for i, t in tokens if remainder(i, 7) != 2]
-    fold = [(i, t) for i, t in train if zlib.crc32(str(i).encode()) // 7 % lm.FOLDS == 3]
-    ids = {id(t) for _, t in fold}
-    pairs = lambda t: list(zip([b"", *t], t))
+    grams = lambda t: list(zip([b"", b"", *t], [b"", *t], t))
 
     def count(docs):
-        return Counter(w for _, t in docs for w in t), Counter(p for _, t in docs for p in pairs(t))
+        c = Counter(w for t in docs for w in t), Counter(g[1:] for t in docs for g in grams(t)), Counter(g for t in docs for g in grams(t))
+        return *c, sum(c[0].values()), len(c[0])
 
-    c1, c2 = count([x for x in train if id(x[1]) not in ids])
-    total, distinct = sum(c1.values()), len(c1)
-    cells = defaultdict(Counter)
+    def shares(g, first, c1, c2, c3, total, _):
+        context = c1[b""] if first else c2[g[:2]]
+        at = context.bit_length() if context else lm.BUCKETS + c1[g[1]].bit_length()
+        return at, (c3[g] / max(context, 1), c2[g[1:]] / max(c1[g[1]], 1), c1[g[2]] / max(total, 1))
+
+    model = count([t for i, t in tokens if part(i) == lm.COUNTED])
     snap = lambda p: 2.0 ** (round(math.log2(p) * lm.FINE) / lm.FINE) if p else 0.0
-    for _, t in fold:
-        for a, b in pairs(t):
-            cells[c1[a].bit_length()][snap(c2[a, b] / c1[a] if c1[a] else 0), snap(c1[b] / total)] += 1
-    mix = defaultdict(lambda: np.array([0.5, 0.4, 0.1]))
-    mix[0] = np.array([0, 0.8, 0.2])
+    cells = defaultdict(Counter)
+    for i, t in tokens:
+        for k, g in enumerate(grams(t)) if part(i) == lm.FOLD else ():
+            at, p = shares(g, not k, *model)
+            cells[at][tuple(map(snap, p))] += 1
+    mix = defaultdict(lambda: np.array([0.4, 0.3, 0.2, 0.1]), {b: np.array([0, 0.5, 0.4, 0.1]) for b in range(lm.BUCKETS, 2 * lm.BUCKETS)})
+    mix[lm.BUCKETS] = np.array([0, 0, 0.8, 0.2])
     for b, found in cells.items():
-        p, n = np.array([[x, y, 1 / (distinct + 1)] for x, y in found]), np.array(list(found.values()), float)
-        m = np.full(3, 1 / 3)
+        p, n = np.array([[*x, 1 / (model[4] + 1)] for x in found]), np.array(list(found.values()), float)
+        m = np.full(4, 1 / 4)
         for _ in range(100):
             share = p * m / (p * m).sum(1, keepdims=True)
             m, last = (n[:, None] * share).sum(0) / n.sum(), m
             if abs(m - last).max() < 1e-9:
                 break
-        m[2] = max(m[2], lm.LEAST)
+        m[3] = max(m[3], lm.LEAST)
         mix[b] = m / m.sum()
-    c1, c2 = count(train)
-    total, distinct = sum(c1.values()), len(c1)
+    return mix, count([t for i, t in tokens if part(i) != lm.SCORED]), tokens, grams, shares
+
+
+def parts(i):
+    return lm.SCORED if remainder(i, 7) == 2 else lm.FOLD if zlib.crc32(str(i).encode()) // 7 % lm.FOLDS == 3 else lm.COUNTED
+
+
+def by_definition(rows):
+    mix, model, tokens, grams, shares = learned(rows, parts)
+    c1, total, distinct = model[0], model[3], model[4]
     out = []
     for i, t in tokens:
-        base = sum(math.log10((c1[w] + 1) / (total + distinct + 1)) for w in t)
-        score = sum(math.log10(mix[c1[a].bit_length()] @ [c2[a, b] / max(c1[a], 1), c1[b] / total, 1 / (distinct + 1)]) for a, b in pairs(t))
-        out.append((i, len(t), sum(c1[w] > 0 for w in t), total, base, score))
+        score = 0.0
+        for k, g in enumerate(grams(t)):
+            at, p = shares(g, not k, *model)
+            score += math.log10(mix[at] @ [*p, 1 / (distinct + 1)])
+        out.append((i, len(t), sum(c1[w] > 0 for w in t), total, sum(math.log10((c1[w] + 1) / (total + distinct + 1)) for w in t), score))
     return sorted(out)
 
 
@@ -72,16 +85,60 @@ def test_scores_equal_brute_force(spark, block_tokens):
     assert np.allclose([g[4:] for g in got], [e[4:] for e in expected], rtol=1e-6)
 
 
-def test_probabilities_of_a_context_add_up_to_at_most_one(spark):
-    """Over all known words and one unknown, after any context."""
-    docs, rows = corpus(spark)
-    words = sorted({w for _, t in rows for w in (t or "").lower().split()})[:60]
-    probe = [(10_000 + i, f"w1 {w}") for i, w in enumerate([*words, "zzz"])]
-    part = F.when(F.col("doc_id") >= 10_000, lm.SCORED).otherwise(F.when(F.col("doc_id") % 9 == 0, lm.FOLD).otherwise(lm.COUNTED))
-    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*probe, (9_999_999, "w1")], "doc_id long, text string"))
-    found = {r["doc_id"]: r for r in lm.score(both, part=part).collect()}
-    assert found[10_060]["n_known"] == 2
-    assert all(r["score"] < 0 for r in found.values())
+def test_probabilities_of_a_context_add_up_to_one(spark):
+    """Over the end, all known words and one unknown, after contexts of pairs that occur, of a pair that doesn't, and of a text's start."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 12)))) for i in range(150)] + [(200, "w1 lone"), (201, " ".join(words))]
+    probes, first = [], 1000
+    contexts = ["", "w1 w2", "w3 w3", "w1 lone", "lone lone", "nothing known"]
+    for c in contexts:
+        probes.append([(first + k, f"{c} {w}".strip()) for k, w in enumerate([*words, "lone", "unknown"])] + [(first + 100, c)])
+        first += 200
+    part = F.when(F.col("doc_id") >= 1000, lm.SCORED).otherwise(F.when(F.col("doc_id") % 5 == 0, lm.FOLD).otherwise(lm.COUNTED))
+    docs = spark.createDataFrame([*rows, *[p for found in probes for p in found]], "doc_id long, text string")
+    # the last token but the end is the probe: the score of context and probe, without that of the end, follows from the weights
+    mix, model, tokens, grams, shares = learned([r for r in docs.collect()], lambda i: lm.SCORED if i >= 1000 else lm.FOLD if i % 5 == 0 else lm.COUNTED)
+    chance = lambda g, first: float(np.dot(mix[shares(g, first, *model)[0]], [*shares(g, first, *model)[1], 1 / (model[4] + 1)]))
+    found = {r["doc_id"]: r["score"] for r in lm.score(docs, part=part).collect()}
+    ends = lambda text: (text.encode().split() or [b""])
+    for c, probe in zip(contexts, probes):
+        given = [b"", b"", *c.encode().split()]
+        whole = 0.0
+        before = sum(math.log10(chance(g, not k)) for k, g in enumerate(grams(c.encode().split())))
+        for i, text in probe[:-1]:
+            last = (given[-1], ends(text)[-1], b"")
+            whole += 10 ** (found[i] - before - math.log10(chance(last, False)))
+        whole += 10 ** (found[probe[-1][0]] - before)  # the end itself
+        assert whole == pytest.approx(1, abs=1e-6)
+
+
+def test_counts_beyond_32_bits():
+    """A slice adds up counts that together, and one by one, need more than 32 bits."""
+    import pyarrow as pa
+
+    hashes = np.array([5, 9, 700], np.uint64)
+    counts = [np.array([5_000_000_000, 1, 2], "<i8"), np.array([6_000_000_000, 3, 1 << 40], "<i8")]
+    asked = pa.table({"block": [1, 2], "part": pa.array([lm.COUNTED, lm.FOLD], pa.int32()), "kind": ["word"] * 2, "slice": pa.array([0, 0], pa.int32()), "hashes": [lm.pack_sorted(hashes)] * 2, "counts": [lm.pack(c) for c in counts]})
+    held = []
+
+    class Grouped:
+        def applyInArrow(self, run, schema):  # noqa: N802
+            held.append(run(asked).to_pylist())
+
+    lm.answers(type("Asked", (), {"groupBy": lambda *a: Grouped()})())
+    stat, first, second = held[0]
+    assert np.frombuffer(stat["payload"], "<i8").tolist() == [3, 5_000_000_003, 3, 11_000_000_006 + (1 << 40)]
+    assert lm.unpack(first["payload"], "<i8").tolist() == lm.unpack(second["payload"], "<i8").tolist() == [11_000_000_000, 4, 2 + (1 << 40)]
+    assert first["rest"] is None and lm.unpack(second["rest"], "<i8").tolist() == [5_000_000_000, 1, 2]
+
+
+def test_rows_asked_are_no_more_than_hashes(spark):
+    docs, _ = corpus(spark)
+    made = lm.blocks(docs.select("doc_id", F.lit(lm.COUNTED).cast("int").alias("part"), "text").repartition(3), 500)
+    few, many = (lm.asks(made, tuple(lm.KINDS), n).groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect() for n in (8, 1 << 20))
+    sizes = {r["block"]: r["size"] for r in made.collect()}
+    assert max(r["n"] for r in few) <= 24 and all(r["n"] <= 3 * sizes[r["block"]] for r in many)
 
 
 def test_lm_edges(spark):
@@ -100,9 +157,9 @@ def test_packing():
     parts = lm.slice_of(values, 37, 64)
     assert (np.diff(parts) >= 0).all() and parts.min() >= 0 and parts.max() < 37
     a = rng.integers(0, 2**63, 200_000, dtype=np.uint64)
-    pairs = lm.pair_hash(a, np.roll(a, 1))
+    pairs = lm.joint_hash(a, np.roll(a, 1)) >> np.uint64(8)
     assert len(np.unique(pairs)) == len(a) and int(pairs.max()) < 2**56
-    assert len(np.unique(lm.pair_hash(np.roll(a, 1), a))) == len(a)
+    assert len(np.unique(lm.joint_hash(np.roll(a, 1), a))) == len(a)
 
 
 def longest_match_bits(texts, text, order=ppm.ORDER):
