@@ -3,7 +3,7 @@
 The rank file of a byte-level vocabulary is turned into a tokenizers model: each byte becomes a printable character
 (`byte_chars`), each token of the file a string of those, and every split of a token into two tokens becomes a merge at
 the token's rank, so that the model merges what the lowest rank says wherever it arises. A text is cut by PATTERN,
-each match is encoded on its own, and matches that have been met are taken from a table of bounded size.
+each match is encoded on its own, and short matches that have been met are taken from a table of bounded bytes.
 
 Each token has its offsets in bytes and in characters of the text. A token may end inside a character: its character
 offsets then take in the whole character, as those of its neighbour do, and `decode_text` puts the bytes of split
@@ -30,10 +30,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import map_arrow, table
+from tallyframe.llm.common import map_arrow, quoted, table
 
-#: Matches of the pattern whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+#: Bytes of matches and their ids that a worker remembers, beyond which it starts afresh, and characters of the longest such match.
+REMEMBERED, SHORT = 96 << 20, 64
+
+#: What Python needs for an entry besides its characters and ids.
+ENTRY = 220
 
 
 def byte_chars() -> list[str]:
@@ -101,7 +104,6 @@ class ByteBPE:
         self.lengths = np.fromiter(map(len, pieces), np.int64, top)
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.numbers = [str(i) for i in range(top)]
         self.plain = regex.compile(pattern).findall
         apart = {r"\p{L}": rf"[\p{{L}}--[{newer}]]", r"\p{N}": rf"[\p{{N}}--[{newer}]]"}
         strict = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{newer}]]") if newer else pattern
@@ -109,8 +111,8 @@ class ByteBPE:
             strict = regex.sub(rf"(?<!\^\\s){regex.escape(kind)}(?=\+)", lambda m, less=less: less, strict)
         self.strict = regex.compile("(?V1)" + strict).findall
         self.odd = re.compile(f"[{newer}]").search if newer else lambda x: None
-        self.known_ids: dict[str, bytes] = {}
-        self.known_text: dict[str, str] = {}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def from_file(cls, path: str, pattern: str, newer: str = "") -> ByteBPE:
@@ -121,31 +123,38 @@ class ByteBPE:
         """The matches of the pattern, in order."""
         return self.plain(text) if text.isascii() or not self.odd(text) else self.strict(text)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes the matches that aren't known yet."""
-        new = [p for p in pieces if p not in self.known_ids]
-        if len(self.known_ids) + len(new) > REMEMBERED:
-            self.known_ids, self.known_text = {}, {}
-            new = list(pieces)
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Encodes the matches that aren't known yet; the long ones, which are not remembered, are returned."""
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
+        new, long = [p for p in pieces if p not in self.known], {}
         for start in range(0, len(new), 4096):
             part = new[start : start + 4096]
             found = self.model.encode("\n".join([p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.chars) for p in part]), add_special_tokens=False)
-            ids = found.ids
             ends = np.searchsorted(np.array(found.word_ids), np.arange(1, len(part) + 1)).tolist()
-            at, blob, numbers = 0, np.array(ids, "<i4").tobytes(), [self.numbers[i] for i in ids]
+            at, blob = 0, np.array(found.ids, "<i4").tobytes()
             for piece, end in zip(part, ends):
-                self.known_ids[piece] = blob[4 * at : 4 * end]
-                self.known_text[piece] = ",".join(numbers[at:end])
+                if len(piece) > SHORT:
+                    long[piece] = blob[4 * at : 4 * end]
+                else:
+                    self.known[piece] = blob[4 * at : 4 * end]
+                    self.held += 4 * (end - at) + len(piece) + ENTRY
                 at = end
+        return long
+
+    def gather(self, pieces: list[str], long: dict[str, bytes]) -> np.ndarray:
+        """The ids of matches that are known, or among the long ones."""
+        ids = [self.known[p] if len(p) <= SHORT else long[p] for p in pieces] if long else map(self.known.__getitem__, pieces)
+        return np.frombuffer(b"".join(ids), "<i4")
 
-    def gather(self, pieces: list[str]) -> np.ndarray:
-        """The ids of matches that are known."""
-        return np.frombuffer(b"".join(map(self.known_ids.__getitem__, pieces)), "<i4")
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [self.cut(t) for t in texts]
+        long = self.learn(set().union(*cut))
+        return [self.gather(pieces, long) for pieces in cut]
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.cut(text)
-        self.learn(set(pieces))
-        return self.gather(pieces).tolist()
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids) -> bytes:
         """The bytes of ids, by the table from the model's characters back to bytes."""
@@ -160,19 +169,16 @@ class ByteBPE:
         """The text of ids; bytes that are no whole character, as at the ends of a cut, become U+FFFD."""
         return self.decode(ids).decode("utf-8", "replace")
 
-    def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int, int, int]]:
-        """(first byte, end byte, first character, end character) of each token of a text that PATTERN covers."""
-        starts, ends, at = [], [], 0
-        for i, c in enumerate(text):
-            n = len(c.encode("utf-8", "surrogatepass"))
-            starts += [i] * n
-            ends += [i + 1] * n
-        found = []
-        for i in ids:
-            to = at + len(self.table[i])
-            found.append((at, to, starts[at], ends[to - 1]))
-            at = to
-        return found
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First byte, end byte, first character and end character of each token of a text that PATTERN covers."""
+        sizes = self.lengths[np.asarray(ids, np.int64)]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        if text.isascii():
+            return starts, ends, starts, ends
+        # how many characters have begun up to a byte, itself included
+        begun = np.cumsum(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) & 0xC0 != 0x80)
+        return starts, ends, begun[starts] - 1, begun[ends - 1]
 
 
 def _loaded(*key: str) -> ByteBPE:
@@ -192,32 +198,35 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
-    """(doc_id, ids, decoded[, offsets]): the ids of each whole text, the bytes that they decode to, and the tokens' offsets.
+#: The offsets of tokens: arrays as long as ids.
+OFFSETS = ("byte_start", "byte_end", "char_start", "char_end")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded, *OFFSETS): the ids of each whole text, the bytes that they decode to, and where each token lies.
 
     path: a rank file that every executor has, as part of its installed libraries.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     newer = newer_characters()
-    place = pa.list_(pa.struct([(n, pa.int32()) for n in ("byte_start", "byte_end", "char_start", "char_end")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern, newer)
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [bpe.encode(t) for t in texts]
-                columns = [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.binary())]
-                if offsets:
-                    names = ("byte_start", "byte_end", "char_start", "char_end")
-                    columns.append(pa.array([[dict(zip(names, o)) for o in bpe.offsets(t, i)] for t, i in zip(texts, ids)], place))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", "offsets"][: len(columns)])
+                ids = bpe.encode_all(texts)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                places = zip(*[bpe.offsets(t, i) for t, i in zip(texts, ids)])
+                arrays = [pa.ListArray.from_arrays(ends, np.concatenate(x).astype(np.int32)) for x in (ids, *places)]
+                columns = [part.column(0), arrays[0], pa.array([bpe.decode(i) for i in ids], pa.binary()), *arrays[1:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", *OFFSETS])
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary"
-    return map_arrow(rows, run, schema + (", offsets array<struct<byte_start:int,byte_end:int,char_start:int,char_end:int>>" if offsets else ""))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary, "
+    return map_arrow(rows, run, schema + ", ".join(f"{c} array<int>" for c in OFFSETS))
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `most` bytes each, one row at least; no row is cut."""
     size = max(1, batch.num_rows * most // max(1, batch.nbytes))
     for start in range(0, batch.num_rows, size):
@@ -225,24 +234,10 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() and its round trip, without moving ids out of the workers."""
-    rows, newer = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), newer_characters()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(path, pattern, newer)
-        for batch in batches:
-            for part in slices(batch):
-                n, ids_sha, sha = [], [], []
-                cut = [bpe.cut(t or "") for t in part.column(1).to_pylist()]
-                bpe.learn(set().union(*cut))
-                for pieces in cut:
-                    ids = bpe.gather(pieces)
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(bpe.known_text.__getitem__, pieces)).encode()).hexdigest())
-                    sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): what encode() gives, in short."""
+    found = encode(docs, path, pattern, id_col, text_col)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def test_offsets(pair):
     text = "añb 漢😀!"
     ids = own.encode(text)
     data, at = text.encode(), 0
-    for (a, b, first, last), i in zip(own.offsets(text, ids), ids):
+    for (a, b, first, last), i in zip(zip(*own.offsets(text, ids)), ids):
         assert a == at and data[a:b] == own.table[i]
         assert data[a:b] in text[first:last].encode()
         at = b
@@ -77,15 +77,17 @@ def test_characters_cut_in_two(pair):
     ids = own.encode("𘥄")
     assert len(ids) > 1 and own.decode_text(ids) == "𘥄"
     assert "�" in own.decode_text(ids[:-1])
-    assert len({o[2:] for o in own.offsets("𘥄", ids)}) == 1
+    assert len({o[2:] for o in zip(*own.offsets("𘥄", ids))}) == 1
 
 
 def test_memory_of_matches_is_bounded(pair, monkeypatch):
     own, theirs = pair
-    monkeypatch.setattr(bpe, "REMEMBERED", 20)
-    text = " ".join(f"word{i}" for i in range(200))
-    assert own.encode(text) == theirs.encode_ordinary(text)
-    assert own.encode("x y z") == theirs.encode_ordinary("x y z") and len(own.known_ids) <= 420
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    for k in range(20):
+        text = " ".join(f"word{k}x{i}" for i in range(50)) + " " + "y" * 300_000
+        assert own.encode(text) == theirs.encode_ordinary(text)
+        assert own.held <= 20_000 + 200 * (bpe.ENTRY + 40)
+    assert max(map(len, own.known)) <= bpe.SHORT
 
 
 def test_operator(spark, pair):
@@ -99,5 +101,7 @@ def test_operator(spark, pair):
         assert got["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     full = {r["doc_id"]: r for r in bpe.encode(docs.filter("doc_id < 4"), PATH, PATTERN).collect()}
     assert full[1]["ids"] == theirs.encode_ordinary("Hello\nworld") and bytes(full[1]["decoded"]) == b"Hello\nworld"
-    assert [o["byte_end"] for o in full[1]["offsets"]][-1] == 11 and full[2]["ids"] == []
+    assert full[1]["byte_start"][0] == 0 and full[1]["byte_end"][-1] == full[1]["char_end"][-1] == 11 and full[2]["ids"] == full[2]["byte_start"] == []
+    odd = bpe.encode(spark.createDataFrame([(9, "ñ漢😀 é")], "doc_id long, text string"), PATH, PATTERN).first()
+    assert (odd["byte_end"][-1], odd["char_end"][-1]) == (12, 5) and all(len(odd[c]) == len(odd["ids"]) for c in bpe.OFFSETS)
     assert bpe.digests(docs.limit(0), PATH, PATTERN).count() == 0
