@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import lookup, map_arrow, saved, table
+from tallyframe.llm.common import lookup, map_arrow, quoted, saved, scratch, table
 
 #: Share of a node's words that its main child must hold, and share of links beyond which a slot is a menu.
 MAIN, LINKS = 0.8, 0.6
@@ -708,8 +708,9 @@ def _decided(text: str, slots: list[dict]) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, least: int = 4, rare: float = 0.1) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page, blocks joined by an empty line."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_column(F.col(url_col)).alias("host"))
-    joined = lookup(rows, models(rows.select("host", "html"), share, least, rare), ["host"]).select("page_id", "url", "html", "model")
+    rows = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url"), quoted(html_col).alias("html"), host_column(quoted(url_col)).alias("host"))
+    with scratch(pages.sparkSession) as keep:
+        joined = keep(lookup(rows, models(rows.select("host", "html"), share, least, rare), ["host"]).select("page_id", "url", "html", "model"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Kept()

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import WORD, lookup, nested, saved, table, unnested
+from tallyframe.llm.common import WORD, lookup, nested, quoted, saved, scratch, table, unnested
 
 #: Hash bits, and the bits by which each level refines.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -32,30 +32,42 @@ def hash_of(ident: Column) -> Column:
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, h), one row for each of docs."""
     return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        hash_of(F.col(id_col)).alias("h"),
+        quoted(id_col).alias("doc_id"),
+        quoted(source_col).alias("source"),
+        F.coalesce(F.regexp_count(quoted(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        hash_of(quoted(id_col)).alias("h"),
     )
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with their rank from 0 in the order, which must tell any two apart: rows are dealt out by range, ranked there, and the parts' sizes added up."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "mix-ranges")
+    before, counts = 0, {}
+    for r in dealt.groupBy("__part").count().orderBy("__part").collect():  # at most `parts` rows
+        counts[r["__part"]], before = before, before + r["count"]
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("__part")) if counts else F.lit(0)
+    return dealt.withColumn("rank", inside.cast("long") + start).drop("__part")
+
+
 def targets(sources: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Adds weight and target to (source, source_size), one row a source.
 
     The level to which targets rise is found by sharing the excess of capped sources again until none is above its
     cap; each round is one aggregate over the sources and brings three numbers to the driver.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), ((F.row_number().over(order) - 1) % len(cycle) + 1).cast("int"))
-    ranked = saved(sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(cap)), "mix-sources")
-    whole = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("rank") % len(cycle) + 1).cast("int"))
+    weighted = ranked(sources, F.col("source").isNull(), F.col("source")).withColumn("weight", weight).drop("rank")
+    weighted = saved(weighted.withColumn("cap", F.col("source_size") * F.lit(cap)), "mix-sources")
+    whole = weighted.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     budget, weights, level, capped = share * (whole["size"] or 0), whole["weight"] or 0.0, 0.0, -1
     while weights:
-        over = ranked.filter(F.col("cap") < level * F.col("weight")).agg(F.count(F.lit(1)).alias("n"), F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+        over = weighted.filter(F.col("cap") < level * F.col("weight")).agg(F.count(F.lit(1)).alias("n"), F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
         if over["n"] == capped or weights == (over["weight"] or 0.0):
             break
         capped, level = over["n"], (budget - (over["cap"] or 0.0)) / (weights - (over["weight"] or 0.0))
-    return ranked.select("source", "source_size", "weight", F.least("cap", F.col("weight") * level).alias("target"))
+    return weighted.select("source", "source_size", "weight", F.least("cap", F.col("weight") * level).alias("target"))
 
 
 def _running(cells: DataFrame) -> DataFrame:
@@ -110,10 +122,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     all sizes; cap, the most that a target may be of its source's size. copies: how often the mix takes the document;
     taken: copies times size.
     """
-    meta = saved(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    out = lookup(meta, rules(meta, **options).drop("weight", "part"), ["source"])
-    copies = F.col("copies") + F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    with scratch(docs.sparkSession) as keep:
+        meta = saved(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+        out = lookup(meta, rules(meta, **options).drop("weight", "part"), ["source"])
+        copies = F.col("copies") + F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)).cast("long")
+        return keep(out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -122,12 +135,13 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     How often follows from a row's source and hash, so the texts are not shuffled unless there are more sources than
     may be broadcast.
     """
-    meta = saved(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    rule = rules(meta, **options).select("source", "copies", "threshold")
-    marked = docs.select(nested(docs).alias("row"), F.col(source_col).alias("source"), hash_of(F.col(id_col)).alias("h"))
-    marked = lookup(marked, rule, ["source"])
-    times = F.col("copies") + F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)).cast("long")
-    return unnested(marked.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))), docs.columns)
+    with scratch(docs.sparkSession) as keep:
+        meta = saved(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+        rule = rules(meta, **options).select("source", "copies", "threshold")
+        marked = docs.select(nested(docs).alias("row"), quoted(source_col).alias("source"), hash_of(quoted(id_col)).alias("h"))
+        marked = lookup(marked, rule, ["source"])
+        times = F.col("copies") + F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)).cast("long")
+        return keep(unnested(marked.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))), docs.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

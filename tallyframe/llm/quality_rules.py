@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import lookup, map_arrow, saved, table
+from tallyframe.llm.common import lookup, map_arrow, quoted, saved, scratch, table
 
 #: Metric: (numerator, denominator, scale, sides). Values are scale * numerator / denominator, rounded down.
 METRICS = {
@@ -90,7 +90,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, lang, source, *COUNTS), one row for each of docs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(lang_col).alias("lang"), quoted(source_col).alias("source"), quoted(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,13 +197,15 @@ def thresholds(cells: DataFrame, min_docs: int, spread: int) -> DataFrame:
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD, **columns: str) -> DataFrame:
     """(doc_id, lang, source, *COUNTS, base_failed, level, failed, kept): failed lists the metrics outside their fences."""
-    rows = saved(measured(docs, **columns).withColumn("base_failed", base_failed()), "quality-counts")
-    marks = saved(thresholds(sketches(rows.filter("not base_failed")), min_docs, spread), "quality-thresholds")
-    joined = lookup(rows, marks, ["lang", "source"])
-    outside = lambda m: (metric(m) > F.col(f"{m}_upper")) | (metric(m) < F.col(f"{m}_lower"))
-    failed = F.filter(F.array(*[F.when(outside(m), F.lit(m)) for m in METRICS]), lambda x: x.isNotNull())
-    failed = F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(failed)
-    return joined.select("doc_id", "lang", "source", *COUNTS, "base_failed", "level", failed.alias("failed")).withColumn("kept", F.size("failed") == 0)
+    with scratch(docs.sparkSession) as keep:
+        rows = saved(measured(docs, **columns).withColumn("base_failed", base_failed()), "quality-counts")
+        marks = saved(thresholds(sketches(rows.filter("not base_failed")), min_docs, spread), "quality-thresholds")
+        joined = lookup(rows, marks, ["lang", "source"])
+        outside = lambda m: (metric(m) > F.col(f"{m}_upper")) | (metric(m) < F.col(f"{m}_lower"))
+        failed = F.filter(F.array(*[F.when(outside(m), F.lit(m)) for m in METRICS]), lambda x: x.isNotNull())
+        failed = F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(failed)
+        out = joined.select("doc_id", "lang", "source", *COUNTS, "base_failed", "level", failed.alias("failed"))
+        return keep(out.withColumn("kept", F.size("failed") == 0))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,16 @@ def test_targets_refill(spark):
     assert found["b"] == pytest.approx(2 * found["c"]) and sum(found.values()) == pytest.approx(3015)
 
 
+def test_ranks_of_many_sources(spark):
+    names = [f"host{k}" for k in range(3000)]
+    random.Random(1).shuffle(names)
+    rows = spark.createDataFrame([(n, 1) for n in [*names, None]], "source string, source_size long")
+    found = {r["source"]: r["rank"] for r in mixing.ranked(rows, F.col("source").isNull(), F.col("source")).collect()}
+    assert found == {n: k for k, n in enumerate([*sorted(names), None])}
+    plan = mixing.targets(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_apply_repeats_rows(mixed):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(mixed.filter("doc_id != 7")).collect()}
     out = mixing.apply_mix(mixed.filter("doc_id != 7"))
