@@ -211,6 +211,12 @@ class ReconResult:
             F.col("d.file2_value").alias("File 2 Value"), F.col("d.validation_rule").alias("Validation Rule"), F.col("d.error").alias("Remarks"),
         )
 
+    def row_counts(self) -> DataFrame:
+        """One row: total_rows_1, total_rows_2 and row_count_difference, from a count of each table without a join."""
+        count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+        both = count(self.df1, "total_rows_1").crossJoin(count(self.df2, "total_rows_2"))  # one row each
+        return both.withColumn("row_count_difference", F.col("total_rows_1") - F.col("total_rows_2"))
+
     def summary(self) -> DataFrame:
         """One row: total_rows_1, total_rows_2, row_count_difference, only_in_1, only_in_2, mismatched_rows, exact_rows, rules_not_understood."""
         tagged = lambda df, tag: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(tag).alias("what"), "n")
@@ -235,22 +241,86 @@ def reconcile(df1: DataFrame, df2: DataFrame, config: ReconConfig, profile: str
     return ReconResult(df1, df2, config, profile, join, on_missing, legacy_numbers, signed_percent, row_rule, row_check)
 
 
-def reconcile_remote(spark: SparkSession, url: str, query1: str, query2: str, config: ReconConfig, profile: str = "text", **options) -> ReconResult:
-    """Reconciles two queries on one database, which does the join; null keys match nothing there, in either profile.
+class RemoteResult(ReconResult):
+    """The outcome of a reconciliation whose join the database does; null keys match nothing there, in either profile.
 
-    Of the classified rows, mismatches, exact rows and breakdown only the joined rows are transferred. The buckets
-    only_in_1 and only_in_2 and the row counts of the summary read the queries themselves.
+    checks: "spark", or "database" for checks that are part of its SELECT too, in the text profile. Then each bucket is a
+    query of its own, whose filter the database applies, and the summary is counted there: only rows of the bucket are
+    transferred. Values compare as the database writes them out.
     """
-    from tallyframe.sources.sql import open_connection, remote_join
 
-    df1, df2 = (open_connection(url, q).load(spark) for q in (query1, query2))
-    found = ReconResult(df1, df2, config, profile, "outer", "error", options.get("legacy_numbers", False), options.get("signed_percent", False), options.get("row_rule"), options.get("row_check"))
-    maps = found.config.column_mappings
-    text = remote_join(query1, query2, [(k, found.config.second_name(k)) for k in found.keys], [(m.file1_column, m.file2_column) for m in maps])
-    rows = open_connection(url, text).load(spark)
-    types = {c: f.dataType for side in (found.aligned.left, found.aligned.right) for c, f in zip(side.columns, side.schema.fields)}
-    found._given = rows.select(*[(F.col(c) == 1 if c in ("p1", "p2") else no_nan(F.col(c).cast(t), t)).alias(c) for c, t in types.items()])
-    return found
+    def __init__(self, spark: SparkSession, url: str, query1: str, query2: str, config: ReconConfig, profile: str, checks: str, legacy_numbers: bool, signed_percent: bool, row_rule: Callable | None, row_check: Callable | str | None, options: dict):
+        from tallyframe.sources.sql import open_connection, remote_join
+
+        self._open = lambda text: open_connection(url, text, **options).load(spark)
+        super().__init__(self._open(query1), self._open(query2), config, profile, "outer", "error", legacy_numbers, signed_percent, row_rule, row_check)
+        maps = self.config.column_mappings
+        names = [(m.file1_column, m.file2_column) for m in maps]
+        self.checks = checks == "database"
+        if checks not in ("spark", "database") or self.checks and (profile != "text" or row_rule or row_check):
+            raise ConfigError('checks must be "spark", or in the text profile without rules over rows "database"')
+        tests = [(i, self.rules[i], maps[i]) for i in self.compared] if self.checks else []
+        self._text = remote_join(query1, query2, [(k, self.config.second_name(k)) for k in self.keys], names, [(i, r) for i, r, _ in tests], signed_percent)
+        self._given = self._loaded(self._text)
+
+    def _loaded(self, text: str) -> DataFrame:
+        types = {c: f.dataType for side in (self.aligned.left, self.aligned.right) for c, f in zip(side.columns, side.schema.fields)}
+        rows = self._open(text)
+        held = {c.lower(): c for c in rows.columns}  # a database may fold the case of names
+        columns = [(quoted(held[c]).cast("int") == 1 if c in ("p1", "p2") else no_nan(quoted(held[c]).cast(t), t)).alias(c) for c, t in types.items()]
+        checks = [(F.coalesce(quoted(held[f"c{i}"]).cast("int") == 1, F.lit(False))).alias(f"c{i}") for i in self.compared] if self.checks else []
+        return rows.select(*columns, *checks)
+
+    def _judged(self, rows: DataFrame, both: Column | None) -> tuple[DataFrame, Column]:
+        if not self.checks:
+            return super()._judged(rows, both)
+        only = (lambda x: x) if both is None else (lambda x: F.when(both, x))
+        return rows.withColumns({f"c{i}": only(F.col(f"c{i}")) for i in self.compared}), _all([F.col(f"c{i}") for i in self.compared])
+
+    def _bucket(self, status: str) -> DataFrame:
+        from tallyframe.sources.sql import remote_bucket
+
+        rows, good = self._judged(self._loaded(remote_bucket(self._text, status, self.compared)), None)
+        return rows.withColumn("_status", F.lit(status))
+
+    @cached_property
+    def _paired(self) -> DataFrame:
+        if not self.checks:
+            return super()._paired
+        return self._bucket(MISMATCH).unionByName(self._bucket(EXACT))
+
+    @cached_property
+    def mismatches(self) -> DataFrame:
+        return self._shown(self._bucket(MISMATCH)).drop("_status") if self.checks else super().mismatches
+
+    @cached_property
+    def exact(self) -> DataFrame:
+        return self._shown(self._bucket(EXACT)).drop("_status") if self.checks else super().exact
+
+    @cached_property
+    def differences(self) -> DataFrame:
+        if not self.checks:
+            return super().differences
+        return self._bucket(MISMATCH).select(*self._key_columns(), self._differences().alias("differences"))
+
+    def summary(self) -> DataFrame:
+        if not self.checks:
+            return super().summary()
+        from tallyframe.sources.sql import remote_counts
+
+        rows = self._open(remote_counts(self._text, self.compared))
+        held = {c.lower(): F.coalesce(quoted(c).cast("long"), F.lit(0)) for c in rows.columns}
+        named = [held[c].alias(c) for c in (ONLY_1, ONLY_2, "mismatched_rows", "exact_rows")]
+        return self.row_counts().crossJoin(rows.select(*named)).withColumn("rules_not_understood", F.lit(sum(not r.understood for r in self.rules)).cast("long"))
+
+
+def reconcile_remote(spark: SparkSession, url: str, query1: str, query2: str, config: ReconConfig, profile: str = "text", checks: str = "spark", legacy_numbers: bool = False, signed_percent: bool = False, row_rule: Callable | None = None, row_check: Callable | str | None = None, **options) -> RemoteResult:
+    """Reconciles two queries on one database, which does the join, and with checks="database" the comparison; see RemoteResult.
+
+    Of the classified rows and the breakdown only the joined rows are transferred. The buckets only_in_1 and only_in_2 and the
+    row counts read the queries themselves. options: of the connection, such as user and password.
+    """
+    return RemoteResult(spark, url, query1, query2, config, profile, checks, legacy_numbers, signed_percent, row_rule, row_check, options)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -258,13 +328,17 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
 
 
+#: What totals are added up in: exactly, in any order, to six decimals.
+TOTAL = "decimal(38,6)"
+
+
 def grand_totals(result: ReconResult) -> DataFrame:
-    """Per mapping of numbers: the sums of both tables and their difference."""
+    """Per mapping of numbers: the sums of both tables and their difference, as decimals; a double counts as its value to six decimals."""
     maps, types = result.config.column_mappings, result.aligned.types
     numeric = [i for i in range(len(maps)) if all(t.typeName() in ("byte", "short", "integer", "long", "float", "double") or t.typeName().startswith("decimal") for t in types[i])]
-    side = lambda df, s: df.agg(*[F.sum(F.col(f"v{i}{s}").cast("double")).alias(f"s{i}") for i in numeric]) if numeric else None
     if not numeric:
-        return result.df1.sparkSession.createDataFrame([], "column string, total_1 double, total_2 double, difference double")
+        return result.df1.sparkSession.createDataFrame([], f"column string, total_1 {TOTAL}, total_2 {TOTAL}, difference {TOTAL}")
+    side = lambda df, s: df.agg(*[F.sum(F.col(f"v{i}{s}").cast(TOTAL)).alias(f"s{i}") for i in numeric])
     unpack = lambda df, s: df.select(F.explode(F.array(*[F.struct(F.lit(maps[i].file1_column).alias("column"), F.col(f"s{i}").alias(f"total_{s}")) for i in numeric])).alias("x")).select("x.*")
     joined = unpack(side(result.aligned.left, 1), 1).join(unpack(side(result.aligned.right, 2), 2), "column")
-    return joined.withColumn("difference", F.col("total_1") - F.col("total_2"))
+    return joined.withColumn("difference", (F.col("total_1") - F.col("total_2")).cast(TOTAL))

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe import xlsx
 from tallyframe.operators.align import quoted
 from tallyframe.operators.reconcile import ReconResult
 
@@ -70,37 +71,35 @@ def _plain(value: object) -> object:
     return value if value is None or isinstance(value, (str, int, float, bool)) else str(value)
 
 
-def write_json(result: ReconResult, path: str | Path, rows: int = 10_000) -> dict:
-    """The summary, and up to `rows` rows of each bucket with a mark if there are more, as one JSON file."""
+def write_json(result: ReconResult, path: str | Path, rows: int | None = None) -> Path:
+    """The summary and all rows of the buckets, as one JSON file that is written a row at a time.
 
-    def first(df: DataFrame) -> dict:
-        found = [_plain(r) for r in df.take(rows + 1)]
-        return {"rows": found[:rows], "truncated": len(found) > rows}
-
-    differences = first(result.differences)
-    for r in differences["rows"]:
-        r["primary_keys"] = {k: r.pop(k) for k in result.keys}
-    report = {"summary": _plain(result.summary().first()), "missing_in_file1": first(result.only_in_2), "missing_in_file2": first(result.only_in_1), "mismatches": differences}
+    rows: so many of each bucket at most; `truncated` then says whether there are more.
+    """
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(report, indent=4, ensure_ascii=False))
-    return report
-
-
-def write_workbook(result: ReconResult, path: str | Path, rows: int = 100_000) -> Path:
-    """A workbook with a sheet for the summary and each bucket, of up to `rows` rows; needs a package for Excel files."""
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise RuntimeError("writing Excel files needs the package openpyxl; use write_csv instead") from e
-    book = openpyxl.Workbook(write_only=True)
-    for name, df in {"summary": result.summary(), **{n: getattr(result, a) for n, a in BUCKETS.items()}}.items():
-        sheet = book.create_sheet(name)
-        sheet.append(df.columns)
-        for row in df.limit(rows).toLocalIterator():
-            sheet.append([_plain(v) for v in row])
-    book.save(path)
-    return Path(path)
+    buckets = {"missing_in_file1": result.only_in_2, "missing_in_file2": result.only_in_1, "mismatches": result.differences}
+    with path.open("w", encoding="utf-8") as f:
+        f.write('{\n    "summary": ' + json.dumps(_plain(result.summary().first()), ensure_ascii=False))
+        for name, df in buckets.items():
+            f.write(f',\n    "{name}": {{"rows": [')
+            n = 0
+            for n, row in enumerate((df if rows is None else df.limit(rows + 1)).toLocalIterator(), 1):
+                if rows is not None and n > rows:
+                    break
+                found = _plain(row)
+                if name == "mismatches":
+                    found["primary_keys"] = {k: found.pop(k) for k in result.keys}
+                f.write((",\n" if n > 1 else "\n") + json.dumps(found, ensure_ascii=False))
+            f.write(f'\n    ], "truncated": {json.dumps(rows is not None and n > rows)}}}')
+        f.write("\n}\n")
+    return path
+
+
+def write_workbook(result: ReconResult, path: str | Path) -> Path:
+    """A workbook with the summary and all rows of each bucket, a sheet each; a bucket that is longer than a sheet goes on in another."""
+    tables = {"summary": result.summary(), **{n: getattr(result, a) for n, a in BUCKETS.items()}}
+    return xlsx.write_workbook(path, ((name, df.columns, ([_plain(v) for v in row] for row in _texts(df).toLocalIterator())) for name, df in tables.items()))
 
 
 def summary_lines(result: ReconResult) -> list[str]:

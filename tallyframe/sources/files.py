@@ -1,4 +1,4 @@
-"""Files: CSV, Parquet and Excel."""
+"""Files: CSV, Parquet and workbooks."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tallyframe.operators.align import quoted
 from tallyframe.sources.paths import clean_path, spooled
+from tallyframe.xlsx import read_sheet, table_of
 
 #: Texts that spreadsheets and pandas write for an empty cell (fixed values).
 NULL_TOKENS = ("", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -25,24 +26,26 @@ _SHAPES = (
 )
 
 
-def typed(df: DataFrame, null_tokens: tuple[str, ...] = NULL_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
+def typed(df: DataFrame, null_tokens: tuple[str, ...] = NULL_TOKENS, keep: tuple[str, ...] = (), sample_rows: int | None = None) -> DataFrame:
     """A DataFrame of texts with null tokens as nulls and each column in the narrowest type that all its values have.
 
-    Types come from all rows, in one aggregate. Columns in keep stay texts, as those whose numbers have leading zeros do.
+    Texts stay as they are, blanks at their ends included; these are ignored only where a cell is tested for a null token
+    or a number. Types come from all rows, in one aggregate; with sample_rows from the first so many, and a later value of
+    another kind is an error when it is read. Columns in keep stay texts, as those whose numbers have leading zeros do.
     """
-    clean = df.select(*[F.when(~F.trim(quoted(c)).isin(*null_tokens), F.trim(quoted(c)) if c not in keep else quoted(c)).alias(c) for c in df.columns])
+    clean = df.select(*[F.when(~F.trim(quoted(c)).isin(*null_tokens), quoted(c)).alias(c) for c in df.columns])
     tests = []
     for i, c in enumerate(df.columns):
-        col = quoted(c)
+        col = F.trim(quoted(c))
         tests.append(F.count(col).alias(f"n{i}"))
         tests.append(F.count_if(col.rlike(r"^[+-]?0[0-9]")).alias(f"zero{i}"))
         tests += [F.count_if(col.rlike(shape) & col.try_cast(kind).isNotNull()).alias(f"{kind}{i}") for kind, shape in _SHAPES]
-    found = clean.agg(*tests).first().asDict()
+    found = (clean if sample_rows is None else clean.limit(sample_rows)).agg(*tests).first().asDict()
     out = []
     for i, c in enumerate(df.columns):
         n = found[f"n{i}"]
         kind = next((k for k, _ in _SHAPES if n and found[f"{k}{i}"] == n and not (k in ("bigint", "double") and found[f"zero{i}"])), "string")
-        out.append(quoted(c).try_cast(kind).alias(c) if kind != "string" and c not in keep else quoted(c))
+        out.append(quoted(c) if kind == "string" or c in keep else F.trim(quoted(c)).cast(kind).alias(c))
     return clean.select(*out)
 
 
@@ -50,7 +53,8 @@ def typed(df: DataFrame, null_tokens: tuple[str, ...] = NULL_TOKENS, keep: tuple
 class CsvSource:
     """A CSV file with a header.
 
-    schema: the types, if they are not to be found out; all_strings: texts as they are; multi_line: quoted cells may hold
+    schema: the types, if they are not to be found out; sample_rows: find them out from the first so many rows instead of from
+    all, which saves a pass over the file; all_strings: texts as they are; multi_line: quoted cells may hold
     line breaks, for which each file is read by one task.
     """
 
@@ -61,6 +65,7 @@ class CsvSource:
     schema: T.StructType | str | None = None
     delimiter: str = ","
     multi_line: bool = False
+    sample_rows: int | None = None
 
     def load(self, spark: SparkSession) -> DataFrame:
         reader = spark.read.option("header", True).option("sep", self.delimiter).option("quote", '"').option("escape", '"').option("multiLine", self.multi_line)
@@ -70,7 +75,7 @@ class CsvSource:
         texts = reader.option("inferSchema", False).csv(path)
         if self.all_strings:
             return texts.select(*[F.when(~quoted(c).isin(*[t for t in self.null_tokens if t.strip()] or [""]), quoted(c)).alias(c) for c in texts.columns]) if self.null_tokens else texts
-        return typed(texts, self.null_tokens, self.keep_strings)
+        return typed(texts, self.null_tokens, self.keep_strings, self.sample_rows)
 
 
 @dataclass(frozen=True)
@@ -83,20 +88,15 @@ class ParquetSource:
 
 @dataclass(frozen=True)
 class ExcelSource:
-    """A sheet of a workbook, read by the driver; needs a package for Excel files. A workbook has about a million rows at most."""
+    """A sheet of a workbook (.xlsx, .xlsm), read by the driver: a sheet has about a million rows at most."""
 
     path: str
     sheet: int | str = 0
 
     def load(self, spark: SparkSession) -> DataFrame:
-        try:
-            import openpyxl  # noqa: F401
-        except ImportError as e:
-            raise RuntimeError("reading Excel files needs the package openpyxl; save the sheet as CSV instead") from e
-        import pandas as pd
-
-        table = pd.read_excel(clean_path(self.path), sheet_name=self.sheet)
-        return spark.createDataFrame(table.astype(object).where(table.notna(), None).infer_objects())
+        names, kinds, rows = table_of(read_sheet(clean_path(self.path), self.sheet))
+        types = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampNTZType()}
+        return spark.createDataFrame(rows, T.StructType([T.StructField(n, types[k]) for n, k in zip(names, kinds)]))
 
 
 def open_source(path: str | IO, name: str | None = None, folder: str | None = None) -> CsvSource | ParquetSource | ExcelSource:

@@ -18,7 +18,10 @@ def clean_path(path: str) -> str:
 
 
 def spooled(buffer: IO, name: str, folder: str | None = None) -> str:
-    """The path of a file with a buffer's content, from its start; folder must be one that executors see."""
+    """The path of a file with a buffer's content, from its start; folder must be one that executors see.
+
+    Without a folder the file is in this machine's own temporary one, which only a local session reads.
+    """
     if hasattr(buffer, "seek"):
         buffer.seek(0)
     data = buffer.read()

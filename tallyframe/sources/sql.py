@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tallyframe.functions.rules import Rule
 from tallyframe.sources.urls import driver_of
 
 
@@ -140,13 +141,49 @@ def open_connection(url: str, query: str, **options) -> JdbcSource | SqliteSourc
     return JdbcSource(url, query, **options)
 
 
-def remote_join(query1: str, query2: str, keys: list[tuple[str, str]], columns: list[tuple[str, str]]) -> str:
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def remote_join(query1: str, query2: str, keys: list[tuple[str, str]], columns: list[tuple[str, str]], checks: list[tuple[int, Rule]] = (), signed_percent: bool = False) -> str:
     """One query that joins two in the database, which must know FULL OUTER JOIN.
 
-    keys and columns: (first, second) names. Columns: p1 and p2, 1 where a side has the row, k<i>1, k<i>2, v<i>1, v<i>2.
+    keys and columns: (first, second) names; checks: the number of a column and its rule. Columns: p1 and p2, 1 where a side
+    has the row, k<i>1, k<i>2, v<i>1, v<i>2, and c<i>, 1 if the values of a row in both agree, else 0.
     """
-    q = lambda n: '"' + n.replace('"', '""') + '"'
-    pick = lambda kind, pairs: [f"a.{q(x)} AS {kind}{i}1, b.{q(y)} AS {kind}{i}2" for i, (x, y) in enumerate(pairs)]
-    on = " AND ".join(f"a.{q(x)} = b.{q(y)}" for x, y in keys)
+    pick = lambda kind, pairs: [f"a.{_quoted(x)} AS {kind}{i}1, b.{_quoted(y)} AS {kind}{i}2" for i, (x, y) in enumerate(pairs)]
+    on = " AND ".join(f"a.{_quoted(x)} = b.{_quoted(y)}" for x, y in keys)
     side = lambda text: f"(SELECT s.*, 1 AS present FROM ({text.strip().rstrip(';')}) s)"
-    return f"SELECT a.present AS p1, b.present AS p2, {', '.join(pick('k', keys) + pick('v', columns))} FROM {side(query1)} a FULL OUTER JOIN {side(query2)} b ON {on}"
+    tests = [f"CASE WHEN {remote_check('a.' + _quoted(columns[i][0]), 'b.' + _quoted(columns[i][1]), rule, signed_percent)} THEN 1 ELSE 0 END AS c{i}" for i, rule in checks]
+    return f"SELECT a.present AS p1, b.present AS p2, {', '.join(pick('k', keys) + pick('v', columns) + tests)} FROM {side(query1)} a FULL OUTER JOIN {side(query2)} b ON {on}"
+
+
+def remote_check(a: str, b: str, rule: Rule, signed_percent: bool = False) -> str:
+    """The condition under which two values agree as texts, or by a rule; null is no agreement."""
+    text = lambda x: f"CAST({x} AS VARCHAR(4000))"
+    number = lambda x: f"CAST({x} AS DOUBLE PRECISION)"
+    if rule.kind == "strict":
+        return f"{text(a)} = {text(b)}"
+    if rule.kind == "ignore_case":
+        return f"LOWER({text(a)}) = LOWER({text(b)})"
+    base = number(a) if signed_percent else f"ABS({number(a)})"
+    limit = repr(rule.amount) if rule.kind == "absolute" else f"{base} * {rule.amount!r} / 100.0"
+    return f"ABS({number(a)} - {number(b)}) <= {limit}"
+
+
+def _good(compared: list[int]) -> str:
+    return " AND ".join(f"c{i} = 1" for i in compared) or "1 = 1"
+
+
+def remote_bucket(joined: str, status: str, compared: list[int]) -> str:
+    """The rows of remote_join() that are in both and a mismatch, or exact."""
+    good = _good(compared)
+    return f"SELECT * FROM ({joined}) j WHERE p1 = 1 AND p2 = 1 AND {good if status == 'exact' else f'NOT ({good})'}"
+
+
+def remote_counts(joined: str, compared: list[int]) -> str:
+    """How many rows of remote_join() are in each bucket."""
+    count = lambda name, test: f"SUM(CASE WHEN {test} THEN 1 ELSE 0 END) AS {name}"
+    both, good = "p1 = 1 AND p2 = 1", _good(compared)
+    parts = [count("only_in_1", "p2 IS NULL"), count("only_in_2", "p1 IS NULL"), count("mismatched_rows", f"{both} AND NOT ({good})"), count("exact_rows", f"{both} AND {good}")]
+    return f"SELECT {', '.join(parts)} FROM ({joined}) j"

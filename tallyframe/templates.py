@@ -6,6 +6,7 @@ import csv
 from pathlib import Path
 
 from tallyframe.config import ColumnMap, ConfigError, ReconConfig, is_blank
+from tallyframe.xlsx import read_sheet, table_of, write_workbook
 
 #: Headers of a template (fixed values).
 FILE1, FILE2, RULE, KEY = "File 1 Column", "File 2 Column", "Validation Rule (Optional)", "Is Primary Key"
@@ -14,11 +15,10 @@ TRUE = frozenset({"true", "1", "yes", "t"})
 
 
 def read_template(path: str | Path) -> ReconConfig:
-    """The configuration of a template: CSV, or Excel where a package for it is there."""
-    if str(path).lower().endswith((".xls", ".xlsx")):
-        import pandas as pd
-
-        rows = pd.read_excel(path, dtype=str).fillna("").to_dict("records")
+    """The configuration of a template: CSV, or the first sheet of a workbook."""
+    if str(path).lower().endswith((".xls", ".xlsx", ".xlsm")):
+        names, _, cells = table_of(read_sheet(path))
+        rows = [dict(zip(names, ["" if v is None else str(v) for v in r])) for r in cells]
     else:
         with open(path, newline="", encoding="utf-8-sig") as f:
             rows = list(csv.DictReader(f))
@@ -32,11 +32,14 @@ def read_template(path: str | Path) -> ReconConfig:
 
 
 def write_template(config: ReconConfig, path: str | Path) -> Path:
-    """The template of a configuration, keys marked; keys that are not mapped map to themselves."""
+    """The template of a configuration, as CSV or by its name as a workbook, keys marked; keys that are not mapped map to themselves."""
     mapped = {m.file1_column for m in config.column_mappings}
     maps = [*[ColumnMap(k, k) for k in config.primary_keys if k not in mapped], *config.column_mappings]
+    rows = [[m.file1_column, m.file2_column, m.validation_rule or "", str(m.file1_column in config.primary_keys)] for m in maps]
+    if str(path).lower().endswith(".xlsx"):
+        return write_workbook(path, [("Mapping", [FILE1, FILE2, RULE, KEY], rows)])
     with open(path, "w", newline="", encoding="utf-8") as f:
         out = csv.writer(f)
         out.writerow([FILE1, FILE2, RULE, KEY])
-        out.writerows([m.file1_column, m.file2_column, m.validation_rule or "", str(m.file1_column in config.primary_keys)] for m in maps)
+        out.writerows(rows)
     return Path(path)

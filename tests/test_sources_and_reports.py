@@ -1,10 +1,15 @@
 import csv
+import datetime as dt
 import io
 import json
 import sqlite3
+import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from tallyframe import xlsx
 from tallyframe.cli import main
 from tallyframe.config import ConfigError, ReconConfig
 from tallyframe.functions.rules import Rule, first_number, parse_rule
@@ -134,6 +139,22 @@ def test_join_in_the_database(spark, database):
     assert [r["emp_id"] for r in found.only_in_1.collect()] == ["E1"]
 
 
+def test_checks_in_the_database(spark, database):
+    config = ReconConfig.of("emp_id", [("emp_id", "emp_id"), ("salary", "salary", "within 1"), ("status", "status", "ignore case")])
+    second = "SELECT emp_id, salary + 0.5 AS salary, lower(status) AS status FROM staff WHERE n > 1 UNION ALL SELECT 'E7', 1.0, 'x'"
+    args = (spark, f"sqlite:///{database}", "SELECT * FROM staff", second, config)
+    here, there = reconcile_remote(*args), reconcile_remote(*args, checks="database")
+    assert here.summary().first() == there.summary().first()
+    for bucket in ("mismatches", "exact", "matched", "breakdown", "differences", "classified", "only_in_1", "only_in_2"):
+        assert sorted(map(str, getattr(here, bucket).collect())) == sorted(map(str, getattr(there, bucket).collect())), bucket
+    assert [r["emp_id"] for r in there.mismatches.collect()] == ["E2"] and [r["emp_id"] for r in there.exact.collect()] == ["E3"]
+    assert there.row_counts().first()["row_count_difference"] == 0
+    percent = ReconConfig.of("emp_id", [("salary", "salary", "within 2%")])
+    assert [r["emp_id"] for r in reconcile_remote(*args[:4], percent, checks="database").mismatches.collect()] == ["E2"]
+    with pytest.raises(ConfigError):
+        reconcile_remote(*args, profile="typed", checks="database")
+
+
 def config():
     return ReconConfig.of("id", [("id", "num"), ("zip", "zip"), ("price", "cost", "within 1"), ("day", "day")])
 
@@ -148,9 +169,9 @@ def test_reports(spark, pair, tmp_path):
     assert sorted(paths) == ["exact_matches", "mismatches", "only_in_file1", "only_in_file2"]
     rows = list(csv.DictReader(open(paths["mismatches"])))
     assert [(r["Primary Key"], r["Column"], r["File 1 Value"], r["File 2 Value"]) for r in rows] == [("id=2", "zip -> zip", "123", "124")]
-    report = write_json(result, tmp_path / "out" / "deep" / "r.json", rows=1)
-    assert report["mismatches"]["rows"][0]["primary_keys"] == {"id": 2}
-    assert json.loads((tmp_path / "out/deep/r.json").read_text())["summary"]["exact_rows"] == 1
+    report = json.loads(write_json(result, tmp_path / "out" / "deep" / "r.json").read_text())
+    assert report["mismatches"]["rows"][0]["primary_keys"] == {"id": 2} and report["summary"]["exact_rows"] == 1
+    assert len(report["missing_in_file1"]["rows"]) == len(report["missing_in_file2"]["rows"]) == 1 and not report["mismatches"]["truncated"]
     tables = write_tables(result, str(tmp_path / "tables"))
     assert spark.read.parquet(tables["only_in_file2"]).first()["id"] == 4
     write_tables(result, str(tmp_path / "csvs"), "csv")
@@ -159,19 +180,90 @@ def test_reports(spark, pair, tmp_path):
     assert summary_lines(same)[-1].startswith("SUCCESS") and write_csv(same, tmp_path / "none") == {}
 
 
-def test_workbook_needs_a_package(spark, pair, tmp_path):
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError, match="openpyxl"):
-            write_workbook(found(spark, pair), tmp_path / "x.xlsx")
-        with pytest.raises(RuntimeError, match="openpyxl"):
-            ExcelSource(str(tmp_path / "x.xlsx")).load(spark)
+def test_json_has_all_rows_unless_told_otherwise(spark, tmp_path):
+    one = spark.range(25_000).selectExpr("id", "id as v")
+    result = reconcile(one, one.selectExpr("id + 12500 as id", "-v as v"), ReconConfig.of("id", {"v": "v"}))
+    report = json.loads(write_json(result, tmp_path / "all.json").read_text())
+    assert [len(report[k]["rows"]) for k in ("missing_in_file1", "missing_in_file2", "mismatches")] == [12_500] * 3
+    part = json.loads(write_json(result, tmp_path / "some.json", rows=10).read_text())
+    assert len(part["mismatches"]["rows"]) == 10 and part["mismatches"]["truncated"]
+
+
+def test_workbooks(spark, pair, tmp_path):
+    path = write_workbook(found(spark, pair), tmp_path / "deep" / "x.xlsx")
+    assert xlsx.sheet_names(path) == ["summary", "mismatches", "only_in_file1", "only_in_file2", "exact_matches"]
+    sheet = ExcelSource(str(path), "mismatches").load(spark)
+    assert [(r["Primary Key"], r["Column"], r["File 1 Value"], r["File 2 Value"]) for r in sheet.collect()] == [("id=2", "zip -> zip", "123", "124")]
+    assert ExcelSource(str(path)).load(spark).first()["exact_rows"] == 1
+    with pytest.raises(ValueError, match="no sheet"):
+        ExcelSource(str(path), "nothing").load(spark)
+    (tmp_path / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0")
+    with pytest.raises(ValueError, match="no workbook"):
+        open_source(str(tmp_path / "old.xls")).load(spark)
+
+
+def test_a_long_bucket_goes_on_in_another_sheet(tmp_path, monkeypatch):
+    monkeypatch.setattr(xlsx, "MOST_ROWS", 4)
+    path = xlsx.write_workbook(tmp_path / "l.xlsx", [("a/b", ["n"], ([i] for i in range(8))), ("c", ["n"], [])])
+    assert xlsx.sheet_names(path) == ["a_b", "a_b (2)", "a_b (3)", "c"]
+    assert [r[0] for k in range(3) for r in list(xlsx.read_sheet(path, k))[1:]] == list(range(8))
+    with pytest.raises(ValueError, match="characters"):
+        xlsx.write_workbook(tmp_path / "t.xlsx", [("a", ["n"], [["x" * 40_000]])])
+
+
+def test_sheets_of_others(spark, tmp_path):
+    """Shared strings, dates by their style, gaps, errors, repeated headers: what other programs write."""
+    path, main = tmp_path / "o.xlsx", xlsx._MAIN
+    cells = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="s"><v>1</v></c></row>'
+    cells += '<row r="2"><c r="A2"><v>1</v></c><c r="B2" s="1"><v>45292</v></c><c r="C2" t="e"><v>#N/A</v></c><c r="D2" t="b"><v>1</v></c></row>'
+    cells += '<row r="4"><c r="A4"><v>2.0</v></c><c r="B4" s="2"><v>45292.5</v></c><c r="D4" t="str"><v>x</v></c></row>'
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{xlsx._OFFICE}"><sheets><sheet name="S" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{xlsx._PACKAGE}/relationships"><Relationship Id="rId7" Target="/xl/worksheets/s.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>id</t></si><si><r><t>wh</t></r><r><t>en</t></r></si></sst>')
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        book.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData>{cells}</sheetData></worksheet>')
+    df = open_source(str(path)).load(spark)
+    assert df.dtypes == [("id", "bigint"), ("when", "timestamp_ntz"), ("Column 3", "string"), ("when.1", "string")]
+    rows = [tuple(r) for r in df.collect()]
+    assert rows == [(1, dt.datetime(2024, 1, 1), None, "True"), (2, dt.datetime(2024, 1, 1, 12), None, "x")]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.none(), st.booleans(), st.integers(-(10**14), 10**14), st.floats(allow_nan=False, allow_infinity=False), st.text(max_size=30)), min_size=3, max_size=3), max_size=8))
+def test_workbook_round_trip(rows):
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = xlsx.write_workbook(f"{folder}/r.xlsx", [("s", ["a", "b", "c"], rows)])
+        head, *found = xlsx.read_sheet(path)
+    plain = lambda v: None if v == "" else v.replace("\r\n", "\n").replace("\r", "\n") if isinstance(v, str) else v
+    want = [[plain(v) for v in r] for r in rows]
+    got = [[plain(v) for v in [*r, None, None, None][:3]] for r in found]
+    assert head == ["a", "b", "c"] and got == [r for r in want if any(v is not None for v in [None if x is None else x for x in r])]
+
+
+def test_blanks_in_cells_are_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name,n\n1,Bob, 5\n2,Amy,6 \n3,  , 7\n")
+    (tmp_path / "b.csv").write_text("id,name,n\n1,Bob  ,5\n2,  Amy,6\n3,NA,7\n")
+    a, b = (open_source(str(tmp_path / f"{x}.csv")).load(spark) for x in "ab")
+    assert [r["name"] for r in b.orderBy("id").collect()] == ["Bob  ", "  Amy", None] and a.dtypes[2] == ("n", "bigint")
+    s = reconcile(a, b, ReconConfig.of("id", {"name": "name", "n": "n"})).summary().first()
+    assert (s["mismatched_rows"], s["exact_rows"]) == (2, 1)
+
+
+def test_types_from_a_sample(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("id,v\n1,1\n2,2\n3,x\n")
+    assert CsvSource(str(tmp_path / "s.csv")).load(spark).dtypes[1] == ("v", "string")
+    sampled = CsvSource(str(tmp_path / "s.csv"), sample_rows=2).load(spark)
+    assert sampled.dtypes[1] == ("v", "bigint")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        sampled.collect()
 
 
 def test_templates(tmp_path):
     path = write_template(config(), tmp_path / "t.csv")
-    assert read_template(path) == config()
+    assert read_template(path) == read_template(write_template(config(), tmp_path / "t.xlsx")) == config()
     (tmp_path / "u.csv").write_text("File 1 Column,File 2 Column,Validation Rule (Optional)\na,x,nan\nb,,\nnan,y,\nc,None,r\n")
     read = read_template(tmp_path / "u.csv")
     assert [(m.file1_column, m.validation_rule) for m in read.column_mappings] == [("a", None)] and read.primary_keys == []
