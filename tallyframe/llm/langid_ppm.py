@@ -48,9 +48,6 @@ UNKNOWN = "und"
 #: Characters of a piece of training text, and bytes of trees that the driver and each worker hold at a time.
 PIECE, MODEL_BYTES = 4096, 128 << 20
 
-#: The row of costs of the empty context: the first.
-SINGLE = 0
-
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -115,18 +112,20 @@ class ContextTree:
         tree.size = int(tree.symbols.max()) + 1
         return tree
 
-    def bits(self, stream: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The code lengths of texts, and those by single bytes. stream: all texts' bytes, ORDER spaces before each; inside: which bytes after the first of these are a text's."""
+    def bits(self, stream: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The code lengths of texts. stream: all texts' bytes, ORDER spaces before each; inside: which bytes after the first of these are a text's."""
         symbols = self.symbols[stream]
         context = np.zeros(len(stream) - ORDER, np.int32)
         for back in range(ORDER):
-            context = context * self.size + symbols[back : len(stream) - ORDER + back]
-        now = symbols[ORDER:]
-        out = []
-        for cost in (self.costs[self.index[context] * np.int64(self.size) + now], self.costs[SINGLE * self.size + now]):
-            cost[~inside] = 0
-            out.append(np.add.reduceat(cost, starts, dtype=np.float64))
-        return tuple(out)
+            context *= np.int32(self.size)
+            context += symbols[back : len(stream) - ORDER + back]
+        cost = self.costs[self.index[context] * np.int64(self.size) + symbols[ORDER:]]
+        cost[~inside] = 0
+        return np.add.reduceat(cost, starts, dtype=np.float64)
+
+    def single(self) -> np.ndarray:
+        """The cost of each byte without a context."""
+        return self.costs[: self.size][self.symbols].astype(np.float64)
 
 
 class LanguageModel:
@@ -153,7 +152,10 @@ class LanguageModel:
         for back in range(1, ORDER + 1):
             inside[starts[1:] - back] = False
         for k, tree in enumerate(self.trees):
-            out[full, k], single[full, k] = tree.bits(stream, starts, inside)
+            out[full, k] = tree.bits(stream, starts, inside)
+        of = np.repeat(np.arange(len(full)) << 8, [len(texts[i]) for i in full])
+        counts = np.bincount(of + np.frombuffer(b"".join([texts[i] for i in full]), np.uint8), minlength=len(full) << 8).reshape(-1, 256)
+        single[full] = counts @ np.stack([tree.single() for tree in self.trees], axis=1)
         return out, single
 
     def judge(self, texts: list[bytes], before: list[tuple] | None = None) -> list[tuple]:

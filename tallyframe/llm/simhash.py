@@ -153,24 +153,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that node reaches over edges (a, b); nodes without edges are left out.
 
     Alternates large-star (larger neighbours of a node move to its smallest neighbour) and small-star (a node and its
-    smaller neighbours move to the smallest of these) until the links stay as they are.
+    smaller neighbours move to the smallest of these) until each node has one link, to a node that has none.
     """
-    links, seen = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"), None
+    links = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
-        before, total = links, links.count()
+        total, nodes = links.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if total == nodes and links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "v")
         large = hot_split_join(links, least, ["v"], "n", total).select("u", F.col("m").alias("v")).filter("u != v").distinct()
-        large = saved(large, "links-large")
+        large, before = saved(large, "links-large"), links
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         moved = hot_split_join(large, least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         links = saved(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard_read(before)
         discard_read(large)
-        if state == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> DataFrame:
