@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Each page is parsed to a tree of blocks (`parse`). The induction has three passes over
-the pages, each of which deals with any page on its own, so a host's pages may lie in any number of tasks and in any order:
+Pages of one host share a template. Each page is parsed to a tree of blocks (`parse`). The induction deals with
+any page on its own, so a host's pages may lie in any number of tasks and in any order:
 
-1. `wrappers`: the shapes of a host's pages are counted, copies of a page once. The most frequent shape is a wrapper, and so is
+1. `trees` and `wrappers`: the shapes of a host's pages are counted, copies of a page once. The most frequent shape is a wrapper, and so is
    each other one that `rare` of the host's pages have, and twice `least` pages; equal counts go by the shape's hash.
 2. `evidence`: each page is aligned by simple tree matching to that wrapper of its host that most of its nodes match. Two
    nodes match if their labels are the same, and their children are matched in order so that most nodes match. Runs of list
@@ -28,8 +28,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import lookup, map_arrow, quoted, saved, scratch, table
+from tallyframe.llm.common import discard_read, lookup, map_arrow, quoted, saved, scratch, table
 
 #: Share of a node's words that its main child must hold, and share of links beyond which a slot is a menu.
 MAIN, LINKS = 0.8, 0.6
@@ -71,7 +73,7 @@ _WORDS = re.compile(r"[a-z]+")
 
 def _hash(*parts: int) -> int:
     """A signed 64-bit hash of signed numbers."""
-    value = xxhash.xxh3_64_intdigest(np.array(parts, "<i8").tobytes())
+    value = xxhash.xxh3_64_intdigest(struct.pack(f"<{len(parts)}q", *parts))
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -111,6 +113,7 @@ def _marked(token: str) -> bool:
     return bool(words) and (words[-1] in MARKS and words[0] not in WITHOUT or words[0] in OPENING)
 
 
+@lru_cache(maxsize=4096)
 def _described(tag: str, raw: str) -> tuple[str, int, int]:
     """The label of an element, its mark, and how surely its marks say that it's an article."""
     names, words, hidden, article = [], set(), False, {"article": 3, "main": 2}.get(tag, 0)
@@ -146,10 +149,9 @@ def parse(page: str | None) -> Node:
     def text(piece: str) -> None:
         if piece:
             piece = entities.unescape(piece) if "&" in piece else piece
-            top, n = stack[-1], len(piece.split())
-            top.items.append(piece)
-            top.words += n
-            top.links += n if link else 0
+            stack[-1].items.append(piece)
+            if link:
+                stack[-1].links += len(piece.split())
 
     def close(to: int) -> None:
         nonlocal link
@@ -219,12 +221,14 @@ def parse(page: str | None) -> Node:
                 stack[-1].items.append(Node("hr", "hr", len(stack)))
                 _finish(stack[-1].items[-1])
             continue
-        label, mark, article = _described(tag, raw)
         if tag in ("html", "body") and opened[tag]:
             continue
+        apart = tag not in BLOCK and tag != "head"
+        if apart and tag not in SILENT and not _ATTRIBUTE.search(raw):
+            continue
+        label, mark, article = _described(tag, raw)
         if tag == "header" and not mark and not any(opened[t] for t in ("article", "main")) and not any(n.article for n in stack):
             mark = 2
-        apart = tag not in BLOCK and tag != "head"
         if apart and (not mark or raw.rstrip().endswith("/")):
             continue  # inline elements' text belongs to their block
         node = Node(tag, label, len(stack), mark, article, apart)
@@ -243,11 +247,17 @@ def _flushed(parts: list[str]) -> str:
 
 
 def _finish(node: Node) -> None:
-    """Gathers a node's repeated children, and finds its shape, size and signature from theirs."""
+    """Gathers a node's repeated children, and finds its shape, size, words and signature."""
     parts: list[str] = []
     items: list[str | Node] = []
-    shapes, sigs = [text_hash(node.label)], []
+    shapes, sigs = [_label_hash(node.label)], []
     last: Node | None = None  # the node before, if only blanks stand between
+
+    def ended() -> None:
+        if whole := _flushed(parts):
+            sigs.append(text_hash(whole))
+            node.words += whole.count(" ") + 1
+
     for x in node.items:
         if x.__class__ is str:
             parts.append(x)
@@ -255,19 +265,18 @@ def _finish(node: Node) -> None:
             last = last if not x.strip() else None
             continue
         if x.inline or x.mark == 3:
-            if not x.inline and (whole := _flushed(parts)):
-                sigs.append(text_hash(whole))
-            items += [] if x.inline else [x]
+            if not x.inline:
+                ended()
+                items.append(x)
             continue
-        if whole := _flushed(parts):
-            sigs.append(text_hash(whole))
+        ended()
         if x.sig:
             sigs.append(x.sig)
         node.words, node.links, node.plain = node.words + x.words, node.links + x.links, node.plain and x.plain
         if x.plain and x.tag in REPEATED:
             if last is None or last.label != x.label + "*":
                 last = Node(x.tag, x.label + "*", x.depth)
-                last.shape = text_hash(last.label)
+                last.shape = _label_hash(last.label)
                 items.append(last)
                 node.size += 1
                 shapes.append(last.shape)
@@ -278,11 +287,16 @@ def _finish(node: Node) -> None:
         node.size += x.size
         shapes.append(x.shape)
         last = x
-    if whole := _flushed(parts):
-        sigs.append(text_hash(whole))
+    ended()
+    node.links = min(node.links, node.words)
     node.items, node.shape, node.sig = items, _hash(*shapes), _hash(*sigs) if sigs else 0
 
 
+@lru_cache(maxsize=4096)
+def _label_hash(label: str) -> int:
+    return text_hash(label)
+
+
 def _unmark(root: Node) -> None:
     """Takes back marks that can't be, where the page has no article outside what is marked: of what holds an article, or by its names most words of the page."""
     order, free, todo = [], 0, [(root, 0)]
@@ -452,13 +466,23 @@ def wrapper_of(text: str) -> Node:
 def _shaped(node: Node) -> None:
     """Shape and size of a wrapper's node, as _finish() gives them to a page's."""
     node.size = 1 + sum([x.size for x in node.items])
-    node.shape = text_hash(node.label) if node.run else _hash(text_hash(node.label), *[x.shape for x in node.items])
+    node.shape = _label_hash(node.label) if node.run else _hash(_label_hash(node.label), *[x.shape for x in node.items])
+
 
+def flat(root: Node) -> list[Node]:
+    """The nodes that an alignment sees, in the order of a skeleton."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        found.append(node)
+        todo += reversed(children(node))
+    return found
 
-def placed(wrappers: list[Node], root: Node) -> int:
-    """Aligns a page to the wrapper that most of its nodes match, of equal ones the first: sets the slots of its nodes, and returns the wrapper's number.
 
-    -1 if none matches half of the nodes of both.
+def placed(wrappers: list[Node], root: Node) -> tuple[int, list[int]]:
+    """Aligns a page to the wrapper that most of its nodes match, of equal ones the first: its number, and the slots of flat(root), -1 for none.
+
+    The number is -1 if none matches half of the nodes of both.
     """
     best, chosen = 0.0, -1
     for k, w in enumerate(wrappers):
@@ -466,10 +490,9 @@ def placed(wrappers: list[Node], root: Node) -> int:
         if match > best:
             best, chosen = match, k
     if best < 0.5:
-        return -1
-    for a, b in aligned(wrappers[chosen], root):
-        b.slot = a.slot
-    return chosen
+        return -1, []
+    slots = {id(b): a.slot for a, b in aligned(wrappers[chosen], root)}
+    return chosen, [slots.get(id(n), -1) for n in flat(root)]
 
 
 def members(node: Node) -> list[Node]:
@@ -481,18 +504,6 @@ def signature(wrapper: int, slot: int, sig: int, member: bool = False) -> int:
     return _hash(wrapper, slot, sig, member)
 
 
-def observed(wrapper: int, root: Node) -> list[tuple[int, int, int, int]]:
-    """(slot, signature, words outside links, words in links) for what a page has in the slots of its wrapper; members of runs without words."""
-    found, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node.slot >= 0 and node.sig:
-            found.append((node.slot, signature(wrapper, node.slot, node.sig), node.words - node.links - node.apart, node.links))
-            found += [(node.slot, signature(wrapper, node.slot, x.sig, True), 0, 0) for x in members(node) if x.sig]
-        todo += children(node)
-    return found
-
-
 class _Kept(dict):
     """The models that a task has met, by their text; it starts afresh beyond `most` characters."""
 
@@ -517,6 +528,15 @@ class HostModel:
         self.main = [frozenset(p.get("main", ())) for p in self.parts]
         self.menus = [frozenset(p.get("menus", ())) for p in self.parts]
         self.template = [frozenset(p.get("template", ())) for p in self.parts]
+        self.known: dict[int, tuple[int, list[int]]] = {}
+
+    def place(self, shape: int, tree: Callable[[], Node]) -> tuple[int, list[int]]:
+        """placed() for a page of this shape, which is aligned once."""
+        if shape not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[shape] = placed(self.wrappers, tree())
+        return self.known[shape]
 
 
 def main_slots(wrapper: Node, slots: dict[int, tuple[int, int, int]], varying: set[int]) -> list[int]:
@@ -546,7 +566,9 @@ def main_slots(wrapper: Node, slots: dict[int, tuple[int, int, int]], varying: s
 
 def blocks(root: Node, model: HostModel | None = None) -> list[str]:
     """The blocks of a page's article."""
-    chosen = placed(model.wrappers, root) if model and model.wrappers else -1
+    chosen, slots = model.place(root.shape, lambda: root) if model and model.wrappers else (-1, [])
+    for node, slot in zip(flat(root) if slots else (), slots):
+        node.slot = slot
     places: list[Node] = []
     if chosen >= 0 and model.main[chosen]:
         todo = [root]
@@ -624,59 +646,73 @@ def host_column(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, least: int, rare: float) -> DataFrame:
-    """(host, model): the skeletons of the wrappers of hosts with `least` distinct pages, as the JSON of a HostModel."""
+#: What pages are in short: a node's text, words outside links and in links by its place, and the texts of the members of runs.
+_TREES = "host string, shape long, page long, skeleton string, sigs array<long>, prose array<long>, links array<long>, run array<int>, member array<long>"
+
+
+def trees(pages: DataFrame) -> DataFrame:
+    """_TREES of pages (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in _TREES.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.list_(pa.int64())]
         for batch in batches:
-            rows, told = [], set()
+            rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 root = parse(page.as_py())
-                text = None if (host, root.shape) in told else skeleton(root)  # once a batch is enough
-                told.add((host, root.shape))
-                rows.append((host, root.shape, root.sig, text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["host", "shape", "page", "skeleton"])
-
-    seen = map_arrow(pages.select("host", "html"), run, "host string, shape long, page long, skeleton string")
-    shapes = seen.groupBy("host", "shape", "page").agg(F.max("skeleton").alias("skeleton")).groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.max("skeleton").alias("skeleton"))
-    shapes = saved(shapes, "html-shapes")
+                nodes = flat(root)
+                inner = [(i, x.sig) for i, n in enumerate(nodes) for x in members(n) if x.sig]
+                rows.append((host, root.shape, root.sig, skeleton(root), [n.sig for n in nodes], [n.words - n.links - n.apart for n in nodes], [n.links for n in nodes], [i for i, _ in inner], [x for _, x in inner]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    return map_arrow(pages, run, _TREES)
+
+
+def wrappers(seen: DataFrame, least: int, rare: float) -> DataFrame:
+    """(host, model): the skeletons of the wrappers of hosts with `least` distinct pages, as the JSON of a HostModel."""
+    counts = seen.select("host", "shape", "page").distinct().groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
+    shapes = saved(counts, "html-shapes")
     hosts = shapes.groupBy("host").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "shape")).alias("first")).filter(F.col("pages") >= least)
-    hosts = saved(hosts, "html-hosts")
-    wide = lookup(shapes, hosts, ["host"], "inner")
+    wide = lookup(shapes, saved(hosts, "html-hosts"), ["host"], "inner")
     often = (F.col("n") >= 2 * least) & (F.col("n") >= rare * F.col("pages"))  # 1 / rare of them at most
-    kept = wide.filter(often | (F.col("shape") == F.col("first.shape")))
+    kept = wide.filter(often | (F.col("shape") == F.col("first.shape"))).select("host", "shape", "n")
+    text = seen.groupBy("host", "shape").agg(F.min("skeleton").alias("skeleton"))  # one of each shape
     ordered = F.sort_array(F.collect_list(F.struct("n", "shape", "skeleton")), asc=False)
     one = F.transform(ordered, lambda x: F.struct(x.skeleton.alias("skeleton")))
-    return saved(kept.groupBy("host").agg(F.to_json(one).alias("model")), "html-wrappers")
+    return saved(kept.join(text, ["host", "shape"]).groupBy("host").agg(F.to_json(one).alias("model")), "html-wrappers")
 
 
-def evidence(pages: DataFrame, known: DataFrame) -> DataFrame:
+def evidence(seen: DataFrame, known: DataFrame) -> DataFrame:
     """(host, wrapper, slot, sig, n, prose, links): what the slots of wrappers hold, each distinct page counted once; slot -1 stands for the pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Kept()
         for batch in batches:
             hosts, rows = [], []
-            for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                root = parse(page.as_py())
-                chosen = placed(kept[text].wrappers, root)
-                if chosen >= 0:
-                    found = [(-1, 0, 0, 0), *observed(chosen, root)]
-                    hosts += [host] * len(found)
-                    rows += [(chosen, root.sig, *x) for x in found]
+            for host, shape, page, text, sigs, prose, links, runs, inner, model in zip(*(c.to_pylist() for c in batch.columns)):
+                chosen, slots = kept[model].place(shape, lambda text=text: wrapper_of(text))
+                if chosen < 0:
+                    continue
+                found = [(chosen, page, -1, 0, 0, 0)]
+                found += [(chosen, page, slot, signature(chosen, slot, sig), p, k) for slot, sig, p, k in zip(slots, sigs, prose, links) if slot >= 0 and sig]
+                found += [(chosen, page, slots[i], signature(chosen, slots[i], sig, True), 0, 0) for i, sig in zip(runs, inner) if slots[i] >= 0]
+                hosts += [host] * len(found)
+                rows += found
             columns = [pa.array(hosts, pa.string()), *[pa.array(c, pa.int64()) for c in (np.array(rows, np.int64).reshape(-1, 6)).T]]
             yield pa.RecordBatch.from_arrays(columns, ["host", "wrapper", "page", "slot", "sig", "prose", "links"])
 
-    rows = lookup(pages, known, ["host"], "inner").select("host", "html", "model")
-    seen = map_arrow(rows, run, "host string, wrapper long, page long, slot long, sig long, prose long, links long")
-    once = seen.groupBy("host", "wrapper", "page", "slot", "sig").agg(F.max("prose").alias("prose"), F.max("links").alias("links"))
+    rows = lookup(seen, known, ["host"], "inner")
+    told = map_arrow(rows, run, "host string, wrapper long, page long, slot long, sig long, prose long, links long")
+    once = told.groupBy("host", "wrapper", "page", "slot", "sig").agg(F.max("prose").alias("prose"), F.max("links").alias("links"))
     return once.groupBy("host", "wrapper", "slot", "sig").agg(F.count(F.lit(1)).alias("n"), F.sum("prose").alias("prose"), F.sum("links").alias("links"))
 
 
 def models(pages: DataFrame, share: float, least: int, rare: float) -> DataFrame:
     """(host, model): a HostModel as JSON, for each host with `least` distinct pages."""
-    known = wrappers(pages, least, rare)
-    seen = saved(evidence(pages, known), "html-evidence")
+    parsed = saved(trees(pages), "html-trees")
+    known = wrappers(parsed, least, rare)
+    seen = saved(evidence(parsed, known), "html-evidence")
+    discard_read(parsed)
     whole = saved(seen.filter(F.col("slot") == -1).select("host", "wrapper", F.col("n").alias("pages")).filter(F.col("pages") >= least), "html-aligned")
     told = lookup(seen.filter(F.col("slot") >= 0), whole, ["host", "wrapper"], "inner")
     constant = (F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))
