@@ -102,8 +102,8 @@ def _by_name(s: SparkSession, d: str) -> DataFrame:
 
 
 def _totals(s: SparkSession, d: str) -> DataFrame:
-    found = grand_totals(orders_result(s, d, ("o_custkey", "cust_id")))
-    return found.filter("column = 'o_custkey'")
+    found = grand_totals(orders_result(s, d, ("o_custkey", "cust_id"), TOTAL)).filter("column != 'o_orderkey'")
+    return found.select("column", *[F.col(c).cast("double").alias(c) for c in ("total_1", "total_2", "difference")])
 
 
 def _types(s: SparkSession, d: str) -> DataFrame:
@@ -127,8 +127,8 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "source_row_count": lambda s, d: orders_result(s, d, STATUS).summary().select("total_rows_1"),
-    "target_row_count": lambda s, d: orders_result(s, d, STATUS).summary().select("total_rows_2"),
+    "source_row_count": lambda s, d: orders_result(s, d, STATUS).row_counts().select("total_rows_1"),
+    "target_row_count": lambda s, d: orders_result(s, d, STATUS).row_counts().select("total_rows_2"),
     "only_in_target": lambda s, d: orders_result(s, d, STATUS, PRIORITY).only_in_2,
     "only_in_source": lambda s, d: orders_result(s, d, STATUS, PRIORITY).only_in_1,
     "matched_pairs": lambda s, d: orders_result(s, d, STATUS).matched.select("o_orderkey", "File1_o_orderstatus", "File2_status"),
@@ -287,9 +287,10 @@ SELECT (SELECT count(*) FROM g) AS total_rows_1, (SELECT count(*) FROM f) AS tot
     "mapped_by_name": """
 WITH n AS (SELECT count(*) AS a, count(*) FILTER (WHERE s_suppkey % 7 <> 0) AS b FROM supplier)
 SELECT a AS total_rows_1, b AS total_rows_2, a - b AS row_count_difference, a - b AS only_in_1, 0::BIGINT AS only_in_2, 0::BIGINT AS mismatched_rows, b AS exact_rows FROM n""",
-    "grand_totals": f"""{_WITH}
-SELECT 'o_custkey' AS "column", (SELECT sum(o_custkey)::DOUBLE FROM f) AS total_1, (SELECT sum(cust_id)::DOUBLE FROM g) AS total_2,
-       (SELECT sum(o_custkey)::DOUBLE FROM f) - (SELECT sum(cust_id)::DOUBLE FROM g) AS difference""",
+    "grand_totals": _WITH + "\nUNION ALL ".join(
+        f"""SELECT '{x}' AS "column", (SELECT sum({x}::DECIMAL(38,6)) FROM f)::DOUBLE AS total_1, (SELECT sum({y}::DECIMAL(38,6)) FROM g)::DOUBLE AS total_2,
+       ((SELECT sum({x}::DECIMAL(38,6)) FROM f) - (SELECT sum({y}::DECIMAL(38,6)) FROM g))::DOUBLE AS difference""" for x, y in (("o_custkey", "cust_id"), TOTAL)
+    ),
     "mixed_types": 'SELECT o_orderkey % 5 <> 0 AS "o_custkey_IsValid", false AS "twin_IsValid", count(*) AS n FROM orders GROUP BY 1',
     "row_check": _bad("coalesce(total >= o_totalprice AND total < 1.4::DOUBLE * o_totalprice, false)"),
     "event_times": "SELECT event_id FROM events WHERE event_id % 3 = 0 AND ts IS NOT NULL",

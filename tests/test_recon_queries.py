@@ -1,7 +1,9 @@
 import pytest
 
 import __spark_entry__
-from tallyframe.plans.recon_queries import ORACLES, QUERIES
+from tallyframe.plans import io_queries, recon_queries
+
+QUERIES, ORACLES = recon_queries.QUERIES | io_queries.QUERIES, recon_queries.ORACLES | io_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", QUERIES)
