@@ -50,7 +50,7 @@ COUNTED, FOLD, SCORED = 0, 1, 2
 END = b""
 
 #: Cells an octave in which probabilities are gathered to learn the weights, and the least weight of equal shares.
-FINE, LEAST = 4, 1e-4
+FINE, LEAST = 2, 1e-4
 
 #: Buckets of the counts of a pair, and of those of a word after them.
 BUCKETS = 65
@@ -288,24 +288,26 @@ def weights(met: DataFrame, distinct: int, total: int, rounds: int = 100) -> np.
             found.append([*cells, n])
         return pa.table([np.concatenate(x).astype(np.int64) for x in zip(*found)], names=["bucket", "triple", "pair", "word", "n"])
 
-    cells = met.groupBy("block").applyInArrow(run, "bucket long, triple long, pair long, word long, n long").groupBy("bucket", "triple", "pair", "word").agg(F.sum("n").alias("n")).toArrow()
-    at, *logs, n = (c.to_numpy() for c in cells.columns)
-    out = np.tile(np.array([0.4, 0.3, 0.2, 0.1]), (2 * BUCKETS, 1))
-    out[BUCKETS:] = [0.0, 0.5, 0.4, 0.1]
-    out[BUCKETS] = [0.0, 0.0, 0.8, 0.2]
-    p = np.stack([*(np.where(x <= 0, np.exp2(x / FINE), 0.0) for x in logs), np.full(len(n), 1 / (distinct + 1))], axis=1)
-    for b in np.unique(at):
-        one = np.lexsort([x[at == b] for x in logs])  # the same order in each run
-        share, held = p[at == b][one], n[at == b][one].astype(np.float64)
-        mix = np.full(4, 1 / 4)
+    def learned(group: pa.Table) -> pa.Table:
+        at, *logs, n = (c.to_numpy() for c in group.columns)
+        order = np.lexsort(logs)  # the same in each run
+        p = np.stack([*(np.where(x <= 0, np.exp2(x / FINE), 0.0) for x in logs), np.full(len(n), 1 / (distinct + 1))], axis=1)[order]
+        held, mix = n[order].astype(np.float64), np.full(4, 1 / 4)
         for _ in range(rounds):
-            part = share * mix
+            part = p * mix
             part /= part.sum(1, keepdims=True)
             mix, last = (held[:, None] * part).sum(0) / held.sum(), mix
             if np.abs(mix - last).max() < 1e-9:
                 break
         mix[3] = max(mix[3], LEAST)
-        out[b] = mix / mix.sum()
+        return pa.table([pa.array([int(at[0])]), pa.array([(mix / mix.sum()).tolist()])], names=["bucket", "mix"])
+
+    cells = met.groupBy("block").applyInArrow(run, "bucket long, triple long, pair long, word long, n long").groupBy("bucket", "triple", "pair", "word").agg(F.sum("n").alias("n"))
+    out = np.tile(np.array([0.4, 0.3, 0.2, 0.1]), (2 * BUCKETS, 1))
+    out[BUCKETS:] = [0.0, 0.5, 0.4, 0.1]
+    out[BUCKETS] = [0.0, 0.0, 0.8, 0.2]
+    for r in cells.groupBy("bucket").applyInArrow(learned, "bucket long, mix array<double>").collect():  # a row a bucket
+        out[r["bucket"]] = r["mix"]
     return out
 
 
