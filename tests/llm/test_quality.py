@@ -55,6 +55,35 @@ def test_score_is_the_difference_of_gaussian_log_densities(labelled):
     assert np.allclose(model.score(x), expected, atol=1e-6)
 
 
+def test_features_by_definition():
+    """Each statistic from its words, for texts with what it counts."""
+    rng = random.Random(8)
+    pool = ["the", "Word", "SHOUT", "a1b2", "x|y", "end.", "(so)", "caf\u00e9", "#tag", "the", "long" * 9, "!"]
+    arc = lambda k, n: math.asin(math.sqrt(min(1, k / n))) if n else 0.0
+    for _ in range(60):
+        text = "\n".join(" ".join(rng.choices(pool, k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 7)))
+        words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+        n, chars = len(words), len(text)
+        letters = sum(c.isalpha() for c in text)
+        sizes = [len(w) for w in words]
+        mean = sum(sizes) / n
+        thirds = [tuple(words[i : i + 3]) for i in range(n - 2)]
+        among = lambda marks, text=text: sum(c in marks for c in text)
+        want = {
+            "log_words": math.log(1 + n), "log_lines": math.log(1 + len(lines)), "mean_word": math.log(mean),
+            "deviation_word": math.log(1 + math.sqrt(sum((s - mean) ** 2 for s in sizes) / n)), "longest_word": math.log(max(sizes)),
+            "symbols": arc(among("#*$%&<>"), chars), "capitals": arc(sum("A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7" for c in text), letters),
+            "digits": arc(among("0123456789"), chars), "marks": arc(among("!?;:\"'()[]{}=+/\\@^~_`-"), chars), "stops": arc(among(".,"), chars), "letters": arc(letters, chars),
+            "capitalised": arc(sum(w[0].isupper() for w in words), n), "distinct": arc(len(set(words)), n), "commonest": arc(max(words.count(w) for w in words), n),
+            "short_words": arc(sum(s <= 3 for s in sizes), n), "dup_lines": arc(len(lines) - len(set(lines)), len(lines)), "log_line_length": math.log(1 + chars / len(lines)),
+            "repeats": arc(sum(thirds.count(t) > 1 for t in thirds), max(n - 2, 1)), "pipes": arc(text.count("|"), n), "shouted": arc(sum(w.isupper() for w in words), n),
+        }
+        got = dict(zip(qda.FEATURES, qda.features(text)))
+        assert set(want) == set(got)
+        for name in want:
+            assert got[name] == pytest.approx(want[name], abs=1e-9), name
+
+
 def test_held_out_accuracy(labelled):
     docs, labels, rows = labelled
     feats = qda.featured(docs)
