@@ -139,6 +139,27 @@ def test_join_in_the_database(spark, database):
     assert [r["emp_id"] for r in found.only_in_1.collect()] == ["E1"]
 
 
+def test_a_database_that_folds_names(spark, database, monkeypatch):
+    """Names that come back in capitals are found all the same."""
+    from tallyframe.sources import sql
+
+    usual = sql.open_connection
+
+    class Folded:
+        def __init__(self, url, query):
+            self.source, self.inner = usual(url, query), " AS p1" in query or "only_in_1" in query
+
+        def load(self, spark):
+            df = self.source.load(spark)
+            return df.toDF(*[c.upper() for c in df.columns]) if self.inner else df
+
+    monkeypatch.setattr(sql, "open_connection", Folded)
+    config = ReconConfig.of("emp_id", {"status": "status"})
+    for checks in ("spark", "database"):
+        s = reconcile_remote(spark, f"sqlite:///{database}", "SELECT * FROM staff", "SELECT * FROM staff WHERE n < 30", config, checks=checks).summary().first()
+        assert (s["only_in_1"], s["only_in_2"], s["mismatched_rows"], s["exact_rows"]) == (1, 0, 1, 1)
+
+
 def test_checks_in_the_database(spark, database):
     config = ReconConfig.of("emp_id", [("emp_id", "emp_id"), ("salary", "salary", "within 1"), ("status", "status", "ignore case")])
     second = "SELECT emp_id, salary + 0.5 AS salary, lower(status) AS status FROM staff WHERE n > 1 UNION ALL SELECT 'E7', 1.0, 'x'"
