@@ -21,8 +21,12 @@ from tallyframe.operators.align import align, on_keys, quoted
 
 ONLY_1, ONLY_2, MISMATCH, EXACT = "only_in_1", "only_in_2", "mismatch", "exact"
 
-#: Value of the join option: one full outer join, or an inner and two anti joins, whose skewed partitions Spark splits.
-JOINS = ("outer", "split")
+#: Value of the join option: one full outer join, an inner and two anti joins, whose skewed partitions Spark splits, or
+#: whichever suits the keys.
+JOINS = ("outer", "split", "auto")
+
+#: Hash buckets in which rows are counted to find out whether a key is hot, and the share of all rows that tells it is.
+SKEW_BUCKETS, SKEW_SHARE = 4096, 1 / 256
 
 
 def _all(columns: list[Column]) -> Column:
@@ -53,7 +57,7 @@ class ReconResult:
         a, on = self.aligned, on_keys(self.aligned, self.profile)
         if self._given is not None:
             return self._given
-        if self.join == "outer":
+        if self.join == "outer" or self.join == "auto" and not (skewed(a.left) or skewed(a.right)):
             return a.left.join(a.right, on, "full_outer")
         empty = lambda df: [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
         left = a.left.join(a.right, on, "left_anti").select("*", *empty(a.right))
@@ -229,10 +233,22 @@ class ReconResult:
         )
 
 
+def skewed(side: DataFrame) -> bool:
+    """Whether some key of an aligned side may hold over SKEW_SHARE of its rows: a count by hash bucket, which reads keys only and shuffles no rows.
+
+    A key so hot is always found. Where rows are few, the buckets of several keys may look like one; then nothing is lost but time.
+    """
+    keys = [F.col(c) for c in side.columns if c[0] == "k"]
+    counts = side.groupBy(F.pmod(F.xxhash64(*keys), F.lit(SKEW_BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return bool(total) and most > SKEW_SHARE * total
+
+
 def reconcile(df1: DataFrame, df2: DataFrame, config: ReconConfig, profile: str = "typed", join: str = "outer", on_missing: str = "error", legacy_numbers: bool = False, signed_percent: bool = False, row_rule: Callable | None = None, row_check: Callable | str | None = None) -> ReconResult:
     """Reconciles df1, the source of truth, with df2.
 
-    profile: "typed" or "text", see functions.compare. join: "outer", or "split" for skewed keys. on_missing: "error" or
+    profile: "typed" or "text", see functions.compare. join: "outer", "split" for skewed keys, or "auto" to count rows by
+    hash bucket of their keys first and choose. on_missing: "error" or
     "skip" for mapped columns that a table lacks. legacy_numbers: only words of digits count as a rule's number.
     signed_percent: percentages of the first value with its sign. row_rule: a Python function from a matched row (a dict
     with <column>_f1 and <column>_f2) to a list of differences. row_check: what must hold of a matched row, as an

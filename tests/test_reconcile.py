@@ -236,3 +236,16 @@ def test_properties(spark, one, two, profile):
         unique = {k: v for k, v in one}
         own = spark.createDataFrame(list(unique.items()), "k long, v long")
         assert counts(reconcile(own, own, config)) == (0, 0, 0, len(unique))
+
+
+def test_join_is_chosen_by_the_keys(spark):
+    even = spark.range(20_000).selectExpr("id", "id as v")
+    hot = spark.range(20_000).selectExpr("if(id % 3 = 0, -1, id) as id", "id as v")
+    plan = lambda r: r.classified._jdf.queryExecution().optimizedPlan().toString()
+    config = ReconConfig.of("id", {"v": "v"})
+    assert "FullOuter" in plan(reconcile(even, even, config, join="auto"))
+    few = spark.createDataFrame([(-1, 0), (5, 5), (30_000, 1)], "id long, v long")
+    for a, b in ((hot, few), (few, hot)):
+        found = reconcile(a, b, config, join="auto")
+        assert "FullOuter" not in plan(found)
+        assert found.summary().first() == reconcile(a, b, config).summary().first()
