@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import map_arrow, quoted, table
 
 #: Bytes of matches and their ids that a worker remembers, beyond which it starts afresh, and characters of the longest such match.
-REMEMBERED, SHORT = 96 << 20, 64
+REMEMBERED, SHORT = 64 << 20, 64
 
 #: What Python needs for an entry besides its characters and ids.
 ENTRY = 220
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return map_arrow(rows, run, schema + ", ".join(f"{c} array<int>" for c in OFFSETS))
 
 
-def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `most` bytes each, one row at least; no row is cut."""
     size = max(1, batch.num_rows * most // max(1, batch.nbytes))
     for start in range(0, batch.num_rows, size):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -113,13 +114,26 @@ def discard_all(spark: SparkSession) -> None:
 BATCH_BYTES = 4 << 20
 
 
+def _hand_back() -> None:
+    """Gives memory that is free in this process back to the machine: a worker lives on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow() in batches of at most BATCH_BYTES, or one row; the session keeps that bound, or a lower one that it has."""
     key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
     found = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
     if not found or not 0 < int(found[1]) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _hand_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
