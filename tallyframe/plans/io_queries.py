@@ -41,10 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def driver_folder() -> str:
-    """A new folder of the driver's, for files that the driver writes and reads."""
+    """A new folder of the driver's, for databases that tasks of a local session read when the query runs."""
     return tempfile.mkdtemp(prefix="tallyframe-io-")
 
 
+def passing_folder() -> tempfile.TemporaryDirectory:
+    """A folder for files that the driver writes and reads at once."""
+    return tempfile.TemporaryDirectory(prefix="tallyframe-io-")
+
+
 def _as_csv(spark: SparkSession, df: DataFrame) -> str:
     path = shared_folder(spark)
     writer = df.write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -117,15 +122,16 @@ def _tables_sink(form: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _csv_report(s: SparkSession, d: str) -> DataFrame:
-    paths, rows = write_csv(_suppliers(s, d), driver_folder(), exact=True), []
-    for name, path in paths.items():
-        with path.open(newline="", encoding="utf-8") as f:
-            rows += [(name, r.get("Primary Key") or f"s_suppkey={r['s_suppkey']}", r.get("Column")) for r in csv.DictReader(f)]
+    rows = []
+    with passing_folder() as folder:
+        for name, path in write_csv(_suppliers(s, d), folder, exact=True).items():
+            with path.open(newline="", encoding="utf-8") as f:
+                rows += [(name, r.get("Primary Key") or f"s_suppkey={r['s_suppkey']}", r.get("Column")) for r in csv.DictReader(f)]
     return s.createDataFrame(rows, "report string, key string, cell string")
 
 
 def _json_report(s: SparkSession, d: str) -> DataFrame:
-    with write_json(_suppliers(s, d), f"{driver_folder()}/r.json").open(encoding="utf-8") as f:
+    with passing_folder() as folder, write_json(_suppliers(s, d), f"{folder}/r.json").open(encoding="utf-8") as f:
         report = json.load(f)
     rows = [("missing_in_file1", r["s_suppkey"]) for r in report["missing_in_file1"]["rows"]] + [("missing_in_file2", r["s_suppkey"]) for r in report["missing_in_file2"]["rows"]]
     rows += [("mismatches", r["primary_keys"]["s_suppkey"]) for r in report["mismatches"]["rows"]]
@@ -133,23 +139,25 @@ def _json_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def _workbook(s: SparkSession, d: str) -> DataFrame:
-    path = write_workbook(_suppliers(s, d), f"{driver_folder()}/w.xlsx")
-    cells = ExcelSource(str(path), "mismatches").load(s)
+    with passing_folder() as folder:
+        cells = ExcelSource(str(write_workbook(_suppliers(s, d), f"{folder}/w.xlsx")), "mismatches").load(s)
     return cells.select("s_suppkey", "Primary Key", "Column", "File 1 Value", "File 2 Value", "Remarks")
 
 
 def _template(s: SparkSession, d: str) -> DataFrame:
     """By way of a template in CSV and one in a workbook."""
     result = _suppliers(s, d)
-    folder = driver_folder()
-    config = read_template(write_template(read_template(write_template(result.config, f"{folder}/t.csv")), f"{folder}/t.xlsx"))
+    with passing_folder() as folder:
+        config = read_template(write_template(read_template(write_template(result.config, f"{folder}/t.csv")), f"{folder}/t.xlsx"))
     return reconcile(result.df1, result.df2, config).summary().drop("rules_not_understood")
 
 
 def _config_file(s: SparkSession, d: str) -> DataFrame:
-    result, path = _suppliers(s, d), f"{driver_folder()}/c.json"
-    result.config.dump(path)
-    return reconcile(result.df1, result.df2, ReconConfig.load(path)).summary().drop("rules_not_understood")
+    result = _suppliers(s, d)
+    with passing_folder() as folder:
+        result.config.dump(f"{folder}/c.json")
+        config = ReconConfig.load(f"{folder}/c.json")
+    return reconcile(result.df1, result.df2, config).summary().drop("rules_not_understood")
 
 
 def _positional(s: SparkSession, d: str) -> DataFrame:
@@ -250,7 +258,8 @@ def _workbook_types(s: SparkSession, d: str) -> DataFrame:
     from tallyframe.xlsx import write_workbook as write
 
     rows = [[r["n_nationkey"], r["n_nationkey"] / 4, r["n_nationkey"] % 2 == 0, r["n_name"], None] for r in table(s, d, "nation").select("n_nationkey", "n_name").collect()]
-    found = ExcelSource(str(write(f"{driver_folder()}/n.xlsx", [("nations", ["key", "quarter", "even", "name", "void"], rows)]))).load(s)
+    with passing_folder() as folder:
+        found = ExcelSource(str(write(f"{folder}/n.xlsx", [("nations", ["key", "quarter", "even", "name", "void"], rows)]))).load(s)
     assert not any(isinstance(v, dt.datetime) for v in found.first())
     return found.withColumn("void", F.col("void").cast("string"))
 
