@@ -66,6 +66,29 @@ def test_empty_corpus(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_extra_columns_repeated_ids_and_long_texts(spark, tmp_path):
+    """Columns of the names that stages use themselves go through unchanged; a text of a megabyte and repeated rows too."""
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "klmt" for b in "aeo" for c in "nrs"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, f"{text(40)}\nkan lor mes shared by all", "xx", f"s{i % 6}") for i in range(30)]
+    rows += [(40, text(250_000), "xx", "s1"), (5, text(60), "xx", "s2"), (5, rows[5][1], "xx", "s5"), (None, text(50), None, None)]
+    extra = "score double, lang_pred string, n_lines long, n_removed long, gain double, `a.b` string, row int, key string, th long, source_size long, rank long"
+    own = (777.0, "mine", 777, 778, 779.0, "ab", 1, "k", 2, 3, 4)
+    docs = spark.createDataFrame([(i, t, lang, s, len(t), *own) for i, t, lang, s in rows], f"{SCHEMA}, {extra}")
+    now = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, now, "").write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        assert now.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in now.collect()} == {own}, name
+    found = spark.read.parquet(f"{tmp_path}/2").collect()
+    assert sorted((r["doc_id"] for r in found), key=str) == sorted([*range(30), 40, 5, None], key=str)
+    assert {r["n_chars"] == len(r["text"]) for r in found} == {True} and max(r["n_chars"] for r in found) == len(rows[30][1])
+    out = corpus_pipeline.byte_bpe(spark, now, "")
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == now.count()
+
+
 def test_scratch_folder_is_the_clusters():
     from types import SimpleNamespace
 
