@@ -186,12 +186,12 @@ def hot_split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: st
     """Inner join of rows to keyed (one row a key, `count` rows of it in `rows`, none of them null).
 
     Keys with over total / HOT_SHARE rows number fewer than HOT_SHARE, whatever the data: those are broadcast.
-    The others are joined by shuffle, from which the rows of hot keys are left out, so no key is hot there. Where no key
-    can be hot, as none has more rows than there are, the join is a plain one.
+    The others are joined by shuffle, from which the rows of hot keys are left out, so no key is hot there. Of a thousand
+    rows no key is hot.
     """
-    limit = max(1_000, total // HOT_SHARE)
-    if total <= limit:
+    if total <= 1_000:
         return rows.join(keyed, keys)
+    limit = max(100, total // HOT_SHARE)
     hot, cold = keyed.filter(F.col(count) > limit), keyed.filter(F.col(count) <= limit)
     near = rows.join(F.broadcast(hot), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
