@@ -47,16 +47,16 @@ class ReconResult:
         self.compared = [i for i, m in enumerate(self.config.column_mappings) if m.file1_column not in keyed]
         self.rules = [parse_rule(m.validation_rule, legacy_numbers) for m in self.config.column_mappings]
         self.signed_percent, self.row_rule, self.row_check = signed_percent, row_rule, row_check
-        self._given: DataFrame | None = None
         self._kept = False
 
     # -- joins
 
+    #: Whether the rows come joined from elsewhere.
+    _elsewhere = False
+
     @cached_property
     def _joined(self) -> DataFrame:
         a, on = self.aligned, on_keys(self.aligned, self.profile)
-        if self._given is not None:
-            return self._given
         if self.join == "outer" or self.join == "auto" and not (skewed(a.left) or skewed(a.right)):
             return a.left.join(a.right, on, "full_outer")
         empty = lambda df: [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
@@ -97,7 +97,7 @@ class ReconResult:
 
         An inner join may be broadcast, its skewed partitions are split, and what filters its rows goes into the join.
         """
-        if self._kept or self._given is not None:
+        if self._kept or self._elsewhere:
             return self._classified.filter(F.col("_status").isin(MISMATCH, EXACT))
         a = self.aligned
         rows, good = self._judged(a.left.join(a.right, on_keys(a, self.profile), "inner"), None)
@@ -265,6 +265,8 @@ class RemoteResult(ReconResult):
     transferred. Values compare as the database writes them out.
     """
 
+    _elsewhere = True
+
     def __init__(self, spark: SparkSession, url: str, query1: str, query2: str, config: ReconConfig, profile: str, checks: str, legacy_numbers: bool, signed_percent: bool, row_rule: Callable | None, row_check: Callable | str | None, options: dict):
         from tallyframe.sources.sql import open_connection, remote_join
 
@@ -276,8 +278,11 @@ class RemoteResult(ReconResult):
         if checks not in ("spark", "database") or self.checks and (profile != "text" or row_rule or row_check):
             raise ConfigError('checks must be "spark", or in the text profile without rules over rows "database"')
         tests = [(i, self.rules[i], maps[i]) for i in self.compared] if self.checks else []
-        self._text = remote_join(query1, query2, [(k, self.config.second_name(k)) for k in self.keys], names, [(i, r) for i, r, _ in tests], signed_percent)
-        self._given = self._loaded(self._text)
+        self._text = remote_join(query1, query2, [(k, self.config.second_name(k)) for k in self.keys], names, [(i, r) for i, r, _ in tests], signed_percent, sqlite=url.startswith("sqlite:"))
+
+    @cached_property
+    def _joined(self) -> DataFrame:
+        return self._loaded(self._text)  # only when asked for: to know its columns, a database may have to join
 
     def _loaded(self, text: str) -> DataFrame:
         types = {c: f.dataType for side in (self.aligned.left, self.aligned.right) for c, f in zip(side.columns, side.schema.fields)}

@@ -71,15 +71,14 @@ class SqliteDataSource(DataSource):
             for (table,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'").fetchall():
                 for _, column, kind, *_ in db.execute(f'PRAGMA table_info("{table}")'):
                     declared.setdefault(column.lower(), kind.upper())
-            kinds = []
-            for n in names:
-                kind = next((s for part, s in _AFFINITY if part in declared.get(n.lower(), "-")), None)
-                if kind is None:  # a computed column: what its values are
-                    quoted = '"' + n.replace('"', '""') + '"'
-                    seen = {t for (t,) in db.execute(f"SELECT DISTINCT typeof({quoted}) FROM ({self.options['query']})")} - {"null"}
-                    kind = "bigint" if seen == {"integer"} else "double" if seen and seen <= {"integer", "real"} else "string"
-                kinds.append(kind)
-        return names, kinds
+            kinds = {n: next((s for part, s in _AFFINITY if part in declared.get(n.lower(), "-")), None) for n in names}
+            computed = [n for n in names if kinds[n] is None]  # what their values are, all by one run of the query
+            flags = [f"max(typeof({_quoted(n)}) = '{kind}'), max(typeof({_quoted(n)}) IN ('text', 'blob'))" for n in computed for kind in ("integer", "real")]
+            seen = iter(db.execute(f"SELECT {', '.join(flags)} FROM ({self.options['query']})").fetchone() if flags else ())
+            for n in computed:
+                whole, other, real, _ = (next(seen) for _ in range(4))
+                kinds[n] = "string" if other or not (whole or real) else "double" if real else "bigint"
+        return names, [kinds[n] for n in names]
 
     def schema(self) -> str:
         return ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in zip(*self._names()))
@@ -145,17 +144,31 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def remote_join(query1: str, query2: str, keys: list[tuple[str, str]], columns: list[tuple[str, str]], checks: list[tuple[int, Rule]] = (), signed_percent: bool = False) -> str:
-    """One query that joins two in the database, which must know FULL OUTER JOIN.
+def _folded(name: str) -> str:
+    """What two values share that SQLite finds equal by any affinity or collation: the number that a text stands for, else the text in lower case."""
+    x = f"s.{_quoted(name)}"
+    return f"CASE WHEN +{x} = CAST({x} AS NUMERIC) THEN CAST({x} AS NUMERIC) ELSE lower(rtrim({x})) END"
 
-    keys and columns: (first, second) names; checks: the number of a column and its rule. Columns: p1 and p2, 1 where a side
-    has the row, k<i>1, k<i>2, v<i>1, v<i>2, and c<i>, 1 if the values of a row in both agree, else 0.
+
+def remote_join(query1: str, query2: str, keys: list[tuple[str, str]], columns: list[tuple[str, str]], checks: list[tuple[int, Rule]] = (), signed_percent: bool = False, sqlite: bool = False) -> str:
+    """One query that joins two in the database, which must know FULL OUTER JOIN, or is SQLite.
+
+    SQLite does a full join of queries by loops over all pairs. A left join it does by an index of the right side, if both keys
+    are columns of one affinity, as folded ones are; two of these make a full one. LIMIT -1 leaves all rows, but keeps SQLite from
+    merging a side into the join, where folded keys would be no columns. keys and columns: (first, second) names; checks: the number
+    of a column and its rule. Columns: p1 and p2, 1 where a side has the row, k<i>1, k<i>2, v<i>1, v<i>2, and c<i>, 1 if the
+    values of a row in both agree, else 0.
     """
     pick = lambda kind, pairs: [f"a.{_quoted(x)} AS {kind}{i}1, b.{_quoted(y)} AS {kind}{i}2" for i, (x, y) in enumerate(pairs)]
     on = " AND ".join(f"a.{_quoted(x)} = b.{_quoted(y)}" for x, y in keys)
-    side = lambda text: f"(SELECT s.*, 1 AS present FROM ({text.strip().rstrip(';')}) s)"
     tests = [f"CASE WHEN {remote_check('a.' + _quoted(columns[i][0]), 'b.' + _quoted(columns[i][1]), rule, signed_percent)} THEN 1 ELSE 0 END AS c{i}" for i, rule in checks]
-    return f"SELECT a.present AS p1, b.present AS p2, {', '.join(pick('k', keys) + pick('v', columns) + tests)} FROM {side(query1)} a FULL OUTER JOIN {side(query2)} b ON {on}"
+    chosen = f"SELECT a.present AS p1, b.present AS p2, {', '.join(pick('k', keys) + pick('v', columns) + tests)} FROM"
+    side = lambda text, folded="", end="": f"(SELECT s.*, {folded}1 AS present FROM ({text.strip().rstrip(';')}) s{end})"
+    if not sqlite:
+        return f"{chosen} {side(query1)} a FULL OUTER JOIN {side(query2)} b ON {on}"
+    a, b = (f"{side(text, ''.join(f'{_folded(names[i])} AS {_quoted(f'folded key {k}')}, ' for k, names in enumerate(keys)), ' LIMIT -1')} {'ab'[i]}" for i, text in enumerate((query1, query2)))
+    on = " AND ".join([*(f"a.{_quoted(f'folded key {k}')} = b.{_quoted(f'folded key {k}')}" for k in range(len(keys))), on])
+    return f"{chosen} {a} LEFT JOIN {b} ON {on} UNION ALL {chosen} {b} LEFT JOIN {a} ON {on} WHERE a.present IS NULL"
 
 
 def remote_check(a: str, b: str, rule: Rule, signed_percent: bool = False) -> str:

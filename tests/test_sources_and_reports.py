@@ -139,6 +139,43 @@ def test_join_in_the_database(spark, database):
     assert [r["emp_id"] for r in found.only_in_1.collect()] == ["E1"]
 
 
+def test_join_in_the_database_is_no_loop_over_pairs(tmp_path):
+    """SQLite looks rows up in an index, on both sides, and one run of a query tells the kinds of all its computed columns."""
+    from tallyframe.sources.sql import SqliteDataSource
+
+    path = str(tmp_path / "t.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (k INTEGER, v REAL)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(i if i % 100 else None, i / 2) for i in range(60_000)])
+        second = "SELECT k + 0 AS id, v + (k % 2) AS w FROM t WHERE k % 10 <> 9 OR k IS NULL UNION ALL SELECT k, v FROM t WHERE k % 1000 = 1 UNION ALL SELECT -k, 0.5 FROM t WHERE k % 10 = 1"
+        joined = remote_join("SELECT * FROM t;", second, [("k", "id")], [("v", "w")], sqlite=True)
+        steps = 0
+
+        def step():
+            nonlocal steps
+            steps += 1
+            return steps > 4_000  # of 10,000 instructions; a loop over pairs takes billions
+
+        db.set_progress_handler(step, 10_000)
+        counts = dict(((a, b), n) for a, b, n in db.execute(f"SELECT p1, p2, count(*) FROM ({joined}) GROUP BY 1, 2"))
+        db.set_progress_handler(None, 0)
+        odd = "SELECT 1 AS n UNION ALL SELECT '012' UNION ALL SELECT 'b ' UNION ALL SELECT x'61' UNION ALL SELECT '1e2' UNION ALL SELECT NULL"
+        for kind in ("TEXT", "TEXT COLLATE NOCASE", "TEXT COLLATE RTRIM", "INTEGER", "REAL", "BLOB"):
+            name = kind.replace(" ", "_")
+            db.execute(f"CREATE TABLE {name} (n {kind})")
+            db.executemany(f"INSERT INTO {name} VALUES (?)", [(v,) for v in (1, "1", "12", 12, "012", "A", "a", b"a", "b", "B ", 100.0, "1E2", 2**53 + 1, 2.0**53, str(2**63), None)])
+        for x, y in [(x, y) for x in ("TEXT", "TEXT_COLLATE_NOCASE", "TEXT_COLLATE_RTRIM", "INTEGER", "REAL", "BLOB", f"({odd})") for y in ("TEXT", "TEXT_COLLATE_NOCASE", "INTEGER", f"({odd})")]:
+            args = (f"SELECT * FROM {x}", f"SELECT * FROM {y}", [("n", "n")], [("n", "n")])
+            rows = [sorted(map(repr, db.execute(remote_join(*args, sqlite=way)))) for way in (False, True)]
+            assert rows[0] == rows[1], (x, y)
+    keys = [i for i in range(60_000) if i % 100]
+    both = [i for i in keys if i % 10 != 9]
+    again, minus = [i for i in keys if i % 1000 == 1], [i for i in keys if i % 10 == 1]
+    assert counts == {(1, 1): len(both) + len(again), (1, None): 600 + len(keys) - len(both), (None, 1): 600 + len(minus)}
+    kinds = dict(zip(*SqliteDataSource({"path": path, "query": "SELECT k + 1 AS a, v AS b, 'x' AS c, CASE WHEN k = 2 THEN 1.5 ELSE 1 END AS d, NULL AS e, x'00' AS f FROM t"})._names()))
+    assert kinds == {"a": "bigint", "b": "double", "c": "string", "d": "double", "e": "string", "f": "string"}
+
+
 def test_a_database_that_folds_names(spark, database, monkeypatch):
     """Names that come back in capitals are found all the same."""
     from tallyframe.sources import sql
