@@ -11,11 +11,14 @@ import datetime as dt
 import json
 import os
 import re
+import shutil
 import sqlite3
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ from tallyframe.operators.reconcile import ReconResult, reconcile, reconcile_rem
 from tallyframe.sinks import write_csv, write_json, write_tables, write_workbook
 from tallyframe.sources import CsvSource, ExcelSource, JdbcSource, SqliteSource, connection_url, open_source
 from tallyframe.sources.base import sample, schema
+from tallyframe.sources.urls import driver_of
 from tallyframe.streaming import reconcile_stream
 from tallyframe.suggest import by_similar_names, suggest_mapping, suggest_rule
 from tallyframe.templates import read_template, write_template
@@ -40,9 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/tallyframe-io-{uuid.uuid4().hex}"
 
 
-def driver_folder() -> str:
-    """A new folder of the driver's, for databases that tasks of a local session read when the query runs."""
-    return tempfile.mkdtemp(prefix="tallyframe-io-")
+def file_folder(spark: SparkSession) -> str:
+    """A new folder, as a path, for databases that the driver makes and tasks read as files when the query runs."""
+    path = urlparse(shared_folder(spark))
+    if path.scheme not in ("", "file"):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must be a folder that is mounted on all machines, as databases in files are no use in {path.scheme}:")
+        return tempfile.mkdtemp(prefix="tallyframe-io-")
+    os.makedirs(path.path)
+    return path.path
 
 
 def passing_folder() -> tempfile.TemporaryDirectory:
@@ -78,7 +88,7 @@ def _csv_types(s: SparkSession, d: str) -> DataFrame:
 
 def _customers(s: SparkSession, d: str) -> str:
     """An SQLite file with the customers, that the driver makes."""
-    path = os.path.join(driver_folder(), "t.db")
+    path = os.path.join(file_folder(s), "t.db")
     rows = table(s, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double"), "c_mktsegment")
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE customer (c_custkey INTEGER, c_name TEXT, c_acctbal REAL, c_mktsegment TEXT)")
@@ -98,10 +108,32 @@ def _remote(s: SparkSession, d: str, checks: str) -> ReconResult:
     return reconcile_remote(s, f"sqlite:///{_customers(s, d)}", "SELECT * FROM customer", _OTHER, config, checks=checks)
 
 
+def _nations(s: SparkSession, d: str) -> str:
+    """The URL of a Derby database with the nations, that the driver makes.
+
+    One process at a time may have a Derby database open, so the driver writes it alone, closes it and packs it up: an archive
+    is read-only, and all executors may have it open.
+    """
+    folder = file_folder(s)
+    url, rows = connection_url("derby", database=f"{folder}/nations"), table(s, d, "nation").select("n_nationkey", "n_regionkey")
+    with open(f"{folder}/nation.csv", "w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows(rows.toLocalIterator())
+    # without rows there are no tasks: the table is made by the driver
+    rows.filter("false").write.format("jdbc").options(url=f"{url};create=true", dbtable="nation", driver=driver_of(url)).save()
+    derby = s._jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver()
+    db = derby.connect(url, s._jvm.java.util.Properties())
+    db.createStatement().execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'NATION', '{folder}/nation.csv', NULL, NULL, 'UTF-8', 0)")
+    db.close()
+    try:
+        derby.connect(f"{url};shutdown=true", s._jvm.java.util.Properties())
+    except Py4JJavaError as e:  # it tells so that it is closed
+        if e.java_exception.getSQLState() != "08006":
+            raise
+    return connection_url("derby", database=f"jar:({shutil.make_archive(f'{folder}/nations', 'zip', folder, 'nations')})nations")
+
+
 def _derby(s: SparkSession, d: str) -> DataFrame:
-    url = connection_url("derby", database=f"{driver_folder()}/derby;create=true")
-    table(s, d, "nation").select("n_nationkey", "n_regionkey").write.format("jdbc").options(url=url, dbtable="nation", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
-    found = JdbcSource(url, "SELECT * FROM nation", partition_column="n_nationkey", lower=0, upper=25, partitions=3).load(s)
+    found = JdbcSource(_nations(s, d), "SELECT * FROM nation", partition_column="n_nationkey", lower=0, upper=25, partitions=3).load(s)
     return found.select(*[F.col(c).alias(c.lower()) for c in found.columns]).filter("n_regionkey < 3")
 
 

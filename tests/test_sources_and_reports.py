@@ -2,7 +2,10 @@ import csv
 import datetime as dt
 import io
 import json
+import os
 import sqlite3
+import subprocess
+import sys
 import zipfile
 
 import pytest
@@ -124,6 +127,31 @@ def test_jdbc(spark, tmp_path):
     assert split.rdd.getNumPartitions() == 3 and split.count() == 3
 
 
+def test_jdbc_on_a_cluster(sf_dir, tmp_path):
+    """Executors are other processes than the driver, which has the database made, and have folders of their own for what is temporary."""
+    import pyspark
+
+    script = """
+import sys
+from pyspark.sql import SparkSession
+from tallyframe.plans.io_queries import QUERIES
+_, sf_dir, shared = sys.argv
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + shared).getOrCreate()
+rows = QUERIES["jdbc_scan"](spark, sf_dir).collect()
+print("found", len(rows), max(r["n_regionkey"] for r in rows))
+"""
+    home, real = tmp_path / "home", os.path.dirname(pyspark.__file__)  # executors log into a folder of Spark's home
+    (home / "work").mkdir(parents=True)
+    for name in set(os.listdir(real)) - {"work"}:
+        (home / name).symlink_to(f"{real}/{name}")
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    for name in [n for n in env if n.startswith("PYSPARK_") and n != "PYSPARK_PYTHON"]:
+        del env[name]
+    done = subprocess.run([sys.executable, "-c", script, sf_dir, str(tmp_path / "shared")], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=150)
+    assert "found 15 2" in done.stdout, done.stderr[-2000:]
+    assert os.listdir(tmp_path / "shared")
+
+
 def test_remote_join_text():
     query = remote_join("SELECT 1;", "SELECT 2", [("a", "b")], [("v", 'w"x')])
     assert 'ON a."a" = b."b"' in query and 'b."w""x" AS v02' in query and 'a."a" AS k01' in query
