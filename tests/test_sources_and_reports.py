@@ -315,6 +315,12 @@ def test_sheets_of_others(spark, tmp_path):
     assert rows == [(1, dt.datetime(2024, 1, 1), None, "True"), (2, dt.datetime(2024, 1, 1, 12), None, "x")]
 
 
+def test_rows_of_empty_texts_are_blank(tmp_path):
+    rows = [[None, None, ""], ["", "x", None], [0, None, ""], ["", "", ""], [False, None, None]]
+    path = xlsx.write_workbook(tmp_path / "r.xlsx", [("s", ["", "", ""], rows)])
+    assert list(xlsx.read_sheet(path)) == [["", "", ""], ["", "x"], [0, None, ""], [False]]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.none(), st.booleans(), st.integers(-(10**14), 10**14), st.floats(allow_nan=False, allow_infinity=False), st.text(max_size=30)), min_size=3, max_size=3), max_size=8))
 def test_workbook_round_trip(rows):
