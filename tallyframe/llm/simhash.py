@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import discard_read, hot_split_join, map_arrow, nested, quoted, saved, scratch, table, unnested
+from tallyframe.llm.common import discard_read, free_shuffles, hot_split_join, map_arrow, nested, quoted, saved, scratch, table, unnested
 
 BITS, SEGMENTS, SEED = 64, 16, 42
 
@@ -157,6 +157,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
+        free_shuffles(links.sparkSession)
         total, nodes = links.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
         if total == nodes and links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
